@@ -69,7 +69,8 @@ def hour_label(hour: Column) -> Column:
 
 
 def date_label(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+    """``YYYY-MM-DD`` of a DATE or TIMESTAMP_NTZ."""
+    return F.to_date(day).cast("string")
 
 
 def parse_date(value: dt.date | str) -> dt.date:

@@ -16,11 +16,10 @@ from aneroid.functions.times import GRAINS, bucket_keys, bucket_value, date_labe
 from aneroid.operators.filters import (
     between_dates,
     between_instants,
-    chosen_day,
     day_of,
     drop_sentinel as without_sentinel,
     on_date,
-    on_day,
+    rows_of_day,
 )
 
 
@@ -65,10 +64,9 @@ def average_by(
 
 def hourly_average(df: DataFrame, date: dt.date | str | None = None, digits: int | None = None) -> DataFrame:
     """Mean temperature and humidity per hour of one date, by default the newest with a known place."""
-    rows = without_sentinel(df)
-    day = on_day(rows, chosen_day(rows, date))
     return (
-        day.groupBy(F.hour("timestamp").alias("h"))
+        rows_of_day(df, date, known_places=True)
+        .groupBy(F.hour("timestamp").alias("h"))
         .agg(_avg("temp", digits).alias("temperature"), _avg("humidity", digits).alias("humidity"))
         .orderBy("h")
         .select(hour_label(F.col("h")).alias("hour"), "temperature", "humidity")

@@ -30,17 +30,29 @@ def day_of(df: DataFrame, ts_col: str = "timestamp") -> Column:
 
 
 def latest_date(df: DataFrame) -> Column:
-    """The newest date in ``df`` as a scalar subquery: evaluated inside the job that uses it."""
-    newest = F.max(DAY) if DAY in df.columns else F.max("timestamp").cast("date")
+    """The newest date in ``df`` as a scalar subquery: evaluated inside the job that uses it.
+
+    DATE when the readings are stored by date, else its midnight, which compares with the timestamps
+    without a conversion per row.
+    """
+    newest = F.max(DAY) if DAY in df.columns else F.max("timestamp").cast("date").cast("timestamp_ntz")
     return df.agg(newest).scalar()
 
 
+def chosen_day(df: DataFrame, date: dt.date | str | None) -> Column:
+    """The date asked for, or the newest one in ``df``, in the form ``on_day`` takes."""
+    if date is None:
+        return latest_date(df)
+    day = F.lit(parse_date(date))
+    return day if DAY in df.columns else day.cast("timestamp_ntz")
+
+
 def on_day(df: DataFrame, day: Column) -> DataFrame:
-    """Rows of one calendar date, given as a DATE column or scalar subquery."""
+    """Rows of one calendar date, given as ``chosen_day`` returns it."""
     if DAY in df.columns:
         return df.where(F.col(DAY) == day)
-    start, ts = day.cast("timestamp_ntz"), F.col("timestamp")
-    return df.where((ts >= start) & (ts < start + F.expr("interval '1' day")))
+    ts = F.col("timestamp")
+    return df.where((ts >= day) & (ts < day + F.expr("interval '1' day")))
 
 
 def on_date(df: DataFrame, date: dt.date | str) -> DataFrame:
@@ -48,15 +60,20 @@ def on_date(df: DataFrame, date: dt.date | str) -> DataFrame:
     return between_dates(df, day, day)
 
 
-def on_latest_date(df: DataFrame, drop_sentinel_first: bool) -> DataFrame:
-    """Rows of the newest date; with ``drop_sentinel_first`` unknown places neither count nor stay."""
-    rows = drop_sentinel(df) if drop_sentinel_first else df
-    return on_day(rows, latest_date(rows))
+def rows_of_day(df: DataFrame, date: dt.date | str | None, known_places: bool) -> DataFrame:
+    """Rows of a date, by default the newest.
 
+    ``known_places`` leaves out unknown postal codes: they do not count for the newest date either. The
+    date is tested first, being the cheaper and narrower of the two.
+    """
+    if not known_places:
+        return on_day(df, chosen_day(df, date))
+    return drop_sentinel(on_day(df, chosen_day(drop_sentinel(df), date)))
 
-def chosen_day(df: DataFrame, date: dt.date | str | None) -> Column:
-    """The date asked for, or the newest one in ``df``."""
-    return latest_date(df) if date is None else F.lit(parse_date(date))
+
+def on_latest_date(df: DataFrame, drop_sentinel_first: bool) -> DataFrame:
+    """Rows of the newest date; with ``drop_sentinel_first`` unknown places neither count nor stay."""
+    return rows_of_day(df, None, drop_sentinel_first)
 
 
 def between_dates(df: DataFrame, first: dt.date | str, last: dt.date | str) -> DataFrame:

@@ -28,9 +28,10 @@ def location_rows(df: DataFrame) -> DataFrame:
     """One row per location key: the one processed last. Rows that lack a key column are left out.
 
     ``processed_at`` stays in the rows, so that later loads can be told from earlier ones. Copies of a
-    key meet in the shuffle only after each task has reduced its own to one.
+    key meet in the shuffle only after each task has reduced its own to one. The ranking compares the
+    most selective key columns first: coordinates would tie on almost every comparison of the sort.
     """
-    latest = Window.partitionBy(*LOCATION_KEY).orderBy(
+    latest = Window.partitionBy(*reversed(LOCATION_KEY)).orderBy(
         *[F.col(c).desc_nulls_last() for c in ("processed_at", "temp", "humidity")]
     )
     return (

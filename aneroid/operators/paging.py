@@ -1,18 +1,18 @@
 """Samples and ordered pages.
 
-A page at a small offset is one top-k. An offset has no upper bound, though, and a top-k keeps
-``offset + limit`` rows in every task and merges them in one; so beyond ``TOP_K`` rows the position is
-first narrowed by counting: how many readings per day, then per part of the day, and so on until the
-page lies in few enough rows. Every count is a grouped aggregate, the order is the same at every
-level, and no reading is left out, so the page is exact.
+A page is the top ``offset + limit`` of the newest-first order, less the first ``offset`` rows. Counting
+the readings per day tells which days the page can lie in, and only their rows are sorted. An offset
+has no upper bound, though, and a top-k keeps that many rows in every task and merges them in one; so
+beyond ``TOP_K`` rows the position is narrowed further: how many readings per second of those days, per
+instant, per part of the id, until the page lies in few enough rows. Every count is a grouped aggregate
+in the order of the page, and no reading is left out, so the page is exact.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,6 @@ from aneroid.schema import DAY, PAGE_COLUMNS
 MAX_LIMIT = 1000
 TOP_K = 10_000
 LAST_LONG = 2**63 - 1
-LAST_INT = 2**31 - 1
 
 
 def _newest_first() -> list[Column]:
@@ -38,56 +37,90 @@ def check_page(offset: int, limit: int) -> None:
 
 
 def _in_newest_days(df: DataFrame, k: int) -> DataFrame:
-    """Only the stored days that hold the newest ``k`` readings; counting them reads no data column."""
-    per_day = df.groupBy(DAY).agg(F.count("*").alias("c")).where(F.col(DAY).isNotNull())
-    running = per_day.withColumn("upto", F.sum("c").over(Window.orderBy(F.col(DAY).desc())))
-    edge = running.where(F.col("upto") - F.col("c") < k).agg(F.min(DAY)).scalar()
+    """Only the days that hold the newest ``k`` readings; for stored days, counting reads no data column."""
+    stored = DAY in df.columns
+    per_day = df.groupBy(day_of(df).alias("day")).agg(F.count("*").alias("c")).where(F.col("day").isNotNull())
+    running = per_day.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("day").desc())))
+    first_day = F.min("day") if stored else F.min("day").cast("timestamp_ntz")
+    edge = running.where(F.col("upto") - F.col("c") < k).agg(first_day).scalar()
     dated = per_day.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()
-    return df.where((F.col(DAY) >= edge) | (F.col(DAY).isNull() & (dated < k)))
+    at = F.col(DAY) if stored else F.col("timestamp")
+    return df.where((at >= edge) | (at.isNull() & (dated < k)))
 
 
-def _age() -> Column:
-    """A bigint that grows from the newest reading to the oldest; undated readings come last."""
-    ts = F.col("timestamp")
-    micros = F.expr("cast(extract(SECOND FROM timestamp) * 1000000 AS bigint)")
-    seconds = (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)) * 3600 + F.minute(ts) * 60
-    return F.coalesce(-(seconds * 1_000_000 + micros), F.lit(LAST_LONG))
+def _touched(df: DataFrame, keys: list[Column], order: list[Column], offset: int, limit: int, *extra: Column) -> Row:
+    """The groups that hold a part of the page, summed up in one row.
+
+    The running total is over one row per group. Except for the first and the last, a touched group is
+    no larger than the page, so below the level of days there are few groups.
+    """
+    counts = df.groupBy(*keys).agg(
+        F.count("*").alias("c"),
+        F.min("timestamp").alias("oldest"),
+        F.max("timestamp").alias("newest"),
+        F.count_if(F.col("timestamp").isNull()).alias("undated"),
+    )
+    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy(*order)))
+    inside = (F.col("upto") > offset) & (F.col("upto") - F.col("c") < offset + limit)
+    return (
+        running.where(inside)
+        .agg(
+            F.coalesce(F.sum("c"), F.lit(0)).alias("rows"),
+            F.min(F.col("upto") - F.col("c")).alias("before"),
+            F.min("oldest").alias("oldest"),
+            F.max("newest").alias("newest"),
+            F.sum("undated").alias("undated"),
+            *extra,
+        )
+        .first()
+    )
 
 
-def _levels(df: DataFrame) -> Iterator[list[Column]]:
-    """Ever finer bucket keys, all in page order: days, parts of a day, instants, parts of the id."""
-    yield [F.coalesce(-F.unix_date(day_of(df)), F.lit(LAST_INT))]
-    yield [F.shiftright(_age(), 18)]
-    yield [_age()]
-    tie = [_age(), F.col("id").isNull()]
+def _id_parts(df: DataFrame) -> list[Column]:
+    """Ever longer leading parts of the id, in the order of the id itself."""
     if isinstance(df.schema["id"].dataType, T.StringType):
-        parts = [F.substring("id", 1, length) for length in range(3, 40, 3)]
-        nothing = F.lit("")
+        parts, nothing = [F.substring("id", 1, length) for length in range(3, 40, 3)], F.lit("")
     else:
-        parts = [F.shiftright("id", bits) for bits in (40, 20)]
-        nothing = F.lit(0)
-    for part in [*parts, F.col("id")]:
-        yield [*tie, F.coalesce(part, nothing)]
+        parts, nothing = [F.shiftright("id", bits) for bits in (40, 20)], F.lit(0)
+    return [F.coalesce(part, nothing) for part in [*parts, F.col("id")]]
+
+
+def _age() -> Column:
+    """A bigint that grows from the newest reading to the oldest; undated readings come last."""
+    ts = F.col("timestamp")
+    micros = F.expr("cast(extract(SECOND FROM timestamp) * 1000000 AS bigint)")
+    minutes = (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return F.coalesce(-(minutes * 60_000_000 + micros), F.lit(LAST_LONG))
 
 
 def _narrow(df: DataFrame, offset: int, limit: int, top_k: int) -> tuple[DataFrame, int]:
     """The rows around the page and the page's offset among them."""
-    for level in _levels(df):
-        key = F.struct(*level)
-        counts = df.groupBy(key.alias("key")).agg(F.count("*").alias("c"))
-        running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("key")))
-        touched = running.where((F.col("upto") > offset) & (F.col("upto") - F.col("c") < offset + limit))
-        found = touched.agg(
-            F.min("key").alias("first"),
-            F.max("key").alias("last"),
-            F.min(F.col("upto") - F.col("c")).alias("before"),
-            F.sum("c").alias("inside"),
-        ).first()
-        if found["first"] is None:
+    ts = F.col("timestamp")
+    day, second = day_of(df), F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    for level in ([day], [day, second], [ts]):
+        keys = [key.alias(f"k{i}") for i, key in enumerate(level)]
+        order = [F.col(f"k{i}").desc_nulls_last() for i in range(len(level))]
+        found = _touched(df, keys, order, offset, limit)
+        if found["rows"] == 0:
             return df.limit(0), 0
+        dated = F.lit(False)
+        if found["newest"] is not None:
+            oldest, newest = instant(found["oldest"]), instant(found["newest"])
+            dated = ts.between(oldest, newest)
+            if DAY in df.columns:
+                dated = dated & F.col(DAY).between(F.to_date(oldest), F.to_date(newest))
+        undated = F.col(DAY if DAY in df.columns else "timestamp").isNull()
+        df = df.where(dated | undated if found["undated"] else dated)
+        offset -= found["before"]
+        if found["rows"] <= top_k:
+            return df, offset
+    for part in _id_parts(df):
+        key = F.struct(_age(), F.col("id").isNull(), part)
+        ends = F.min("k").alias("first"), F.max("k").alias("last")
+        found = _touched(df, [key.alias("k")], [F.col("k")], offset, limit, *ends)
         first, last = (F.struct(*map(F.lit, found[end])) for end in ("first", "last"))
         df, offset = df.where((key >= first) & (key <= last)), offset - found["before"]
-        if found["inside"] <= top_k:
+        if found["rows"] <= top_k:
             break
     return df, offset
 
@@ -99,10 +132,8 @@ def page(
     check_page(offset, limit)
     if offset + limit > top_k:
         rows, offset = _narrow(df, offset, limit, top_k)
-    elif DAY in df.columns:
-        rows = _in_newest_days(df, offset + limit)
     else:
-        rows = df
+        rows = _in_newest_days(df, offset + limit)
     return rows.orderBy(*_newest_first()).offset(offset).limit(limit).select(*(columns or PAGE_COLUMNS))
 
 

@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aneroid.functions.times import GRAINS, bucket_keys, bucket_value, date_label, hour_label
-from aneroid.operators.filters import chosen_day, day_of, drop_sentinel, on_date, on_day
+from aneroid.operators.filters import day_of, drop_sentinel, on_date, rows_of_day
 from aneroid.schema import DAY
 
 
-def _first_rows(df: DataFrame, keys: list[Column], columns: list[Column | str], ts_col: str) -> DataFrame:
-    """The row with the lowest (timestamp, id) of every key combination."""
-    earliest = Window.partitionBy(*keys).orderBy(F.col(ts_col).asc_nulls_last(), F.col("id").asc_nulls_last())
-    return df.select(*columns, F.row_number().over(earliest).alias("rn")).where(F.col("rn") == 1).drop("rn")
+def _first_rows(df: DataFrame, keys: dict[str, Column], columns: list[Column | str], ts_col: str) -> DataFrame:
+    """``keys`` and ``columns`` of the row with the lowest (timestamp, id) of every key combination."""
+    earliest = Window.partitionBy(*keys).orderBy(F.col("at").asc_nulls_last(), F.col("tie").asc_nulls_last())
+    ranked = df.select(
+        *[key.alias(name) for name, key in keys.items()], *columns, F.col(ts_col).alias("at"), F.col("id").alias("tie")
+    ).withColumn("rn", F.row_number().over(earliest))
+    return ranked.where(F.col("rn") == 1).drop("rn", "at", "tie")
 
 
 def _in_first_buckets(df: DataFrame, grain: str, ts_col: str, descending: bool, n: int) -> DataFrame:
@@ -35,21 +38,21 @@ def _in_first_buckets(df: DataFrame, grain: str, ts_col: str, descending: bool,
         df = _in_first_buckets(df, "day", ts_col, descending, n)
     ts = F.col(ts_col)
     if grain == "hour":
-        start = F.window(ts, "1 hour").start
+        key, start = F.window(ts, "1 hour").start, F.col("b")
     else:
-        start = bucket_value(bucket_keys(ts, grain, day_of(df, ts_col)), grain)
+        (key,) = bucket_keys(ts, grain, day_of(df, ts_col))
+        start = F.col("b").cast("timestamp_ntz")
     order = F.col("b").desc_nulls_last() if descending else F.col("b").asc_nulls_last()
-    wanted = df.select(start.alias("b")).distinct().orderBy(order).limit(n)
+    wanted = df.select(key.alias("b")).distinct().orderBy(order).limit(n)
     found = wanted.agg(F.count("b")).scalar()
     if descending:
-        edge = wanted.agg(F.min("b")).scalar()
+        edge = wanted.agg(F.min(start)).scalar()
         inside = ts >= edge
         inside_day = F.col(DAY) >= F.to_date(edge) if stored_day else None
     else:
-        edge = wanted.agg(F.max("b")).scalar()
-        beyond = edge + F.expr(GRAINS[grain][1])
-        inside = ts < beyond
-        inside_day = F.col(DAY) <= F.to_date(beyond) if stored_day else None
+        edge = wanted.agg(F.max(start) + F.expr(GRAINS[grain][1])).scalar()
+        inside = ts < edge
+        inside_day = F.col(DAY) <= F.to_date(edge) if stored_day else None
     if stored_day:
         return df.where((inside_day & inside) | (F.col(DAY).isNull() & (found < n)))
     return df.where(inside | (ts.isNull() & (found < n)))
@@ -68,21 +71,17 @@ def first_per_bucket(
     Buckets come oldest first, or newest first with ``descending``; ``n`` keeps the first ``n`` of them.
     Readings without a timestamp form a NULL bucket, last either way.
     """
+    if grain == "hour_of_day":
+        raise ValueError("hour_of_day is not a span of time")
     rows = df if n is None else _in_first_buckets(df, grain, ts_col, descending, n)
-    keys = bucket_keys(F.col(ts_col), grain, day_of(df, ts_col))
-    names = [f"key{i}" for i in range(len(keys))]
-    firsts = _first_rows(rows, keys, [*values, *[k.alias(c) for k, c in zip(keys, names)]], ts_col)
-    result = firsts.select(bucket_value([F.col(c) for c in names], grain).alias(grain), *values)
+    keys = {f"key{i}": key for i, key in enumerate(bucket_keys(F.col(ts_col), grain, day_of(df, ts_col)))}
+    firsts = _first_rows(rows, keys, values, ts_col)
+    result = firsts.select(bucket_value([F.col(k) for k in keys], grain).alias(grain), *values)
     order = F.col(grain).desc_nulls_last() if descending else F.col(grain).asc_nulls_last()
     result = result.orderBy(order)
     return result if n is None else result.limit(n)
 
 
-def _day_rows(df: DataFrame, date: dt.date | str | None, known_places: bool) -> DataFrame:
-    rows = drop_sentinel(df) if known_places else df
-    return on_day(rows, chosen_day(rows, date))
-
-
 def first_per_hour(
     df: DataFrame,
     values: list[str],
@@ -97,9 +96,8 @@ def first_per_hour(
     """
     if with_date not in (None, "label", "date"):
         raise ValueError(f"with_date must be None, 'label' or 'date', not {with_date!r}")
-    rows = _day_rows(df, date, known_places)
-    day, hour = day_of(df).alias("date"), F.hour("timestamp")
-    firsts = _first_rows(rows, [hour], [day, hour.alias("h"), *values], "timestamp").orderBy("h")
+    rows = rows_of_day(df, date, known_places)
+    firsts = _first_rows(rows, {"h": F.hour("timestamp")}, [day_of(df).alias("date"), *values], "timestamp").orderBy("h")
     label = hour_label(F.col("h")).alias("hour")
     if with_date is None:
         return firsts.select(label, *values)
@@ -109,7 +107,7 @@ def first_per_hour(
 
 def day_rows(df: DataFrame, date: dt.date | str | None = None) -> DataFrame:
     """Every reading of one date (default: the newest): date and hour labels, temperature, in hour order."""
-    rows = _day_rows(df, date, known_places=False)
+    rows = rows_of_day(df, date, known_places=False)
     return (
         rows.select(day_of(df).alias("day"), F.hour("timestamp").alias("h"), "temp", "timestamp", "id")
         .orderBy("h", "timestamp", "id")
@@ -120,7 +118,7 @@ def day_rows(df: DataFrame, date: dt.date | str | None = None) -> DataFrame:
 def hour_rows(df: DataFrame, date: dt.date | str, n: int = 50) -> DataFrame:
     """The first ``n`` readings of a date with a known place: integer hour and temperature."""
     return (
-        on_date(drop_sentinel(df), date)
+        drop_sentinel(on_date(df, date))
         .select(F.hour("timestamp").cast("bigint").alias("hour_start"), "temp", "timestamp", "id")
         .orderBy("hour_start", "timestamp", F.col("id").asc_nulls_last())
         .limit(n)
