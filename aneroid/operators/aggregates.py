@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aneroid.functions.rounding import rounded_avg
-from aneroid.functions.times import GRAINS, bucket_keys, bucket_value, date_label, hour_label
+from aneroid.functions.times import GRAINS, HOURS_PER_DAY, bucket_keys, bucket_value, date_label, hour_label
 from aneroid.operators.filters import (
     between_dates,
     between_instants,
@@ -69,6 +69,7 @@ def hourly_average(df: DataFrame, date: dt.date | str | None = None, digits: int
         .groupBy(F.hour("timestamp").alias("h"))
         .agg(_avg("temp", digits).alias("temperature"), _avg("humidity", digits).alias("humidity"))
         .orderBy("h")
+        .limit(HOURS_PER_DAY)
         .select(hour_label(F.col("h")).alias("hour"), "temperature", "humidity")
     )
 

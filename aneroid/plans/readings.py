@@ -6,44 +6,49 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from aneroid.sources.normalize import normalize
 from aneroid.sources.readers import read_sensor
 
 
+# The columns of the driver's table.
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+# The readings expressed over those columns.
+READING_EXPRESSIONS = [
+    "event_id AS id",
+    "concat('dev-', cast(user_id % 50 AS string)) AS device_id",
+    "value AS temp",
+    "cast(regexp_extract(props, '[0-9]+', 0) AS double) AS humidity",
+    "1000 + cast(regexp_extract(props, '[0-9]+', 0) AS double) / 4 AS pressure",
+    "cast((user_id % 30) * 4 - 58 AS double) AS lat",
+    "cast((user_id % 25) * 14 - 170 AS double) AS lon",
+    "cast(0 AS double) AS alt",
+    "cast(user_id % 12 AS int) AS sats",
+    "value / 8 AS wind_speed",
+    "cast((user_id * 37) % 360 AS int) AS wind_direction",
+    "CASE WHEN user_id % 3 = 0 THEN 'US' WHEN user_id % 3 = 1 THEN 'CA' ELSE 'IN' END AS country",
+    "event_type AS state",
+    "concat('city-', cast(user_id % 20 AS string)) AS city",
+    "lpad(cast(user_id AS string), 5, '0') AS postal_code",
+    "ts AS timestamp",
+    "ts + INTERVAL '5' MINUTE AS processed_at",
+]
+
+
 def as_readings(events: DataFrame) -> DataFrame:
     """Events as station readings. Works on batch and streaming input."""
-    user, k = F.col("user_id"), F.regexp_extract("props", "[0-9]+", 0).cast("double")
-    return events.select(
-        F.col("event_id").alias("id"),
-        F.concat(F.lit("dev-"), (user % 50).cast("string")).alias("device_id"),
-        F.col("value").alias("temp"),
-        k.alias("humidity"),
-        (1000 + k / 4).alias("pressure"),
-        ((user % 30) * 4 - 58).cast("double").alias("lat"),
-        ((user % 25) * 14 - 170).cast("double").alias("lon"),
-        F.lit(0.0).alias("alt"),
-        (user % 12).cast("int").alias("sats"),
-        (F.col("value") / 8).alias("wind_speed"),
-        ((user * 37) % 360).cast("int").alias("wind_direction"),
-        F.when(user % 3 == 0, "US").when(user % 3 == 1, "CA").otherwise("IN").alias("country"),
-        F.col("event_type").alias("state"),
-        F.concat(F.lit("city-"), (user % 20).cast("string")).alias("city"),
-        F.lpad(user.cast("string"), 5, "0").alias("postal_code"),
-        F.col("ts").alias("timestamp"),
-        (F.col("ts") + F.expr("interval '5' minute")).alias("processed_at"),
-    )
+    return events.selectExpr(*READING_EXPRESSIONS)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(as_readings(read_sensor(spark, "parquet", f"{sf_dir}/events.parquet")))
+    events = read_sensor(spark, "parquet", f"{sf_dir}/events.parquet", schema=EVENTS_SCHEMA)
+    return normalize(as_readings(events))
 
 
 def readings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same readings as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return as_readings(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+    return as_readings(spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet*"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -35,6 +35,9 @@ def normalize(df: DataFrame, mode: str = "strict") -> DataFrame:
         raise ValueError(f"mode must be 'strict' or 'permissive', not {mode!r}")
     source = {f.name: f.dataType for f in df.schema.fields}
 
+    if [(f.name, f.dataType) for f in SENSOR_SCHEMA.fields] == list(source.items()):
+        return df
+
     def column(field: T.StructField) -> Column:
         name, have = field.name, source.get(field.name)
         if have is None:

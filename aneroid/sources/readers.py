@@ -10,6 +10,7 @@ import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # short name -> Spark source name; any other name is handed to Spark as it is
 FORMATS = {
@@ -70,9 +71,15 @@ def cassandra_options(keyspace: str, table: str = "sensor_data_processed", **opt
     return {"keyspace": keyspace, "table": table, **options}
 
 
-def read_sensor(spark: SparkSession, fmt: str, path: str | None = None, **options: str) -> DataFrame:
-    """Readings as a lazy DataFrame; follow with ``normalize`` unless they were stored normalized."""
+def read_sensor(
+    spark: SparkSession, fmt: str, path: str | None = None, schema: T.StructType | str | None = None, **options: str
+) -> DataFrame:
+    """Readings as a lazy DataFrame; follow with ``normalize`` unless they were stored normalized.
+
+    A known ``schema`` saves the job that would look for one in the files.
+    """
     reader = spark.read.format(FORMATS.get(fmt, fmt)).options(**options)
+    reader = reader if schema is None else reader.schema(schema)
     if path is None:
         return reader.load()
     return reader.load("s3a://" + path[len("s3://"):] if path.startswith("s3://") else path)

@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import datetime as dt
+import math
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from aneroid.functions.rounding import rounded_avg
+from aneroid.operators import aggregates as A
+from aneroid.plans.oracles import ROUNDED
+
+
+def tuples(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_weeks_start_on_monday(make):
+    days = ["2024-12-30", "2025-01-01", "2025-01-05", "2025-01-06"]
+    df = make(*[{"timestamp": f"{d} 12:00:00", "temp": float(i)} for i, d in enumerate(days)])
+    assert tuples(A.average_by(df, "week", ["temp"])) == [
+        (dt.datetime(2024, 12, 30), 1.0), (dt.datetime(2025, 1, 6), 3.0),
+    ]
+
+
+@pytest.mark.parametrize(
+    "grain, expected",
+    [
+        ("hour", dt.datetime(2025, 2, 21, 1)), ("day", dt.datetime(2025, 2, 21)), ("month", dt.datetime(2025, 2, 1)),
+        ("year", dt.datetime(2025, 1, 1)), ("date", dt.date(2025, 2, 21)), ("hour_of_day", 1),
+    ],
+)
+def test_grains(make, grain, expected):
+    df = make({"timestamp": "2025-02-21 01:10:00.874345"}, {"timestamp": None, "temp": 5.0})
+    assert tuples(A.average_by(df, grain, ["temp"])) == [(expected, 1.0), (None, 5.0)]
+
+
+def test_bucket_before_1970(make):
+    df = make({"timestamp": "1969-12-31 23:59:59.5"})
+    assert A.average_by(df, "hour", ["temp"]).first().hour_start == dt.datetime(1969, 12, 31, 23)
+
+
+def test_range_arguments(make):
+    with pytest.raises(ValueError):
+        A.average_by(make(), "day", ["temp"], start="2025-01-01")
+    with pytest.raises(ValueError):
+        A.average_by(make(), "decade", ["temp"])
+    with pytest.raises(ValueError):
+        A.extreme(make(), "temp", "median")
+
+
+@pytest.mark.parametrize("value, expected", [(2.675, 2.68), (0.125, 0.13), (1.005, 1.0), (-0.125, -0.12), (3.0, 3.0)])
+def test_half_cents(spark, value, expected):
+    df = spark.createDataFrame([(value,)], "x double")
+    assert df.agg(rounded_avg(F.col("x"), 2)).first()[0] == expected
+    assert duckdb.sql(f"SELECT {ROUNDED.format('x')} FROM (SELECT {value}::double AS x)").fetchall()[0][0] == expected
+
+
+def test_rounding_survives_odd_values(spark):
+    avg = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x double").agg(rounded_avg(F.col("x"), 2)).first()[0]
+    assert avg(None) is None
+    assert avg(1.0, None, 2.0) == 1.5
+    assert math.isnan(avg(1.0, math.nan))
+    assert avg(1e20, 1e20) == 1e20
+
+
+def test_all_null_hour(make):
+    df = make(
+        {"timestamp": "2025-02-21 01:00:00", "humidity": None}, {"timestamp": "2025-02-21 02:00:00", "humidity": 4.0}
+    )
+    assert tuples(A.hourly_average(df)) == [("01", 1.0, None), ("02", 1.0, 4.0)]
+    assert tuples(A.hourly_average(df, digits=2)) == [("01", 1.0, None), ("02", 1.0, 4.0)]
+
+
+def test_empty(make):
+    df = make()
+    assert tuples(A.hourly_average(df)) == [] and tuples(A.hourly_average(df, "2025-02-21", 2)) == []
+    assert tuples(A.average_by(df, "all", ["temp"])) == [(None,)]
+    assert tuples(A.average_by(df, "week", ["temp"])) == []
+    assert tuples(A.extreme(df, "temp", "max")) == [(None,)]
+    assert tuples(A.row_count(df)) == [(0,)]
+    assert tuples(A.distinct_dates(df)) == []
+
+
+def test_extremes_and_dates(make):
+    df = make(
+        {"timestamp": "2025-02-21 01:00:00", "temp": 3.0}, {"timestamp": "2025-02-22 01:00:00", "temp": -3.0},
+        {"timestamp": "2025-02-22 02:00:00", "temp": 9.0, "postal_code": "00000"}, {},
+    )
+    assert tuples(A.extreme(df, "temp", "max")) == [(9.0,)]
+    assert tuples(A.extreme(df, "temp", "max", drop_sentinel=True)) == [(3.0,)]
+    assert tuples(A.extreme(df, "temp", "min", "2025-02-21")) == [(3.0,)]
+    assert tuples(A.distinct_dates(df)) == [("2025-02-22",), ("2025-02-21",), (None,)]
+    assert tuples(A.distinct_dates(df, 1)) == [("2025-02-22",)]
+
+
+def test_hours_recombine_to_the_day(base):
+    counts = base.groupBy(F.hour("timestamp").alias("h")).count()
+    hourly = A.average_by(base, "hour_of_day", ["temp"], drop_sentinel=False)
+    joined = hourly.join(counts, hourly.hour_start == counts.h)
+    weighted = joined.agg(F.sum(F.col("avg_temp") * F.col("count")) / F.sum("count")).first()[0]
+    assert weighted == pytest.approx(A.average_by(base, "all", ["temp"], drop_sentinel=False).first()[0])

@@ -1,0 +1,76 @@
+"""The physical plans that scale depends on."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from plans import plan_text, scan_metrics
+
+from aneroid.operators import aggregates as A
+from aneroid.operators import filters, paging, series
+from aneroid.operators.location_index import build_location_index, lookup_location
+from aneroid.schema import PLACE_COLUMNS
+
+
+def read_columns(text: str) -> list[set[str]]:
+    return [set(re.findall(r"(\w+):", s)) for s in re.findall(r"ReadSchema: struct<([^>]*)>", text)]
+
+
+def test_first_per_bucket_limits_groups_before_the_shuffle(base):
+    text = plan_text(series.first_per_bucket(base, "day", ["temp"]))
+    assert "row_number(), 1, Partial" in text and "row_number(), 1, Final" in text
+    top = plan_text(series.first_per_bucket(base, "hour", ["temp"], descending=True, n=50))
+    assert "TakeOrderedAndProject" in top and "row_number(), 1, Partial" in top
+
+
+def test_averages_aggregate_before_the_shuffle(base):
+    text = plan_text(A.average_by(base, "hour", ["temp"]))
+    assert "partial_avg" in text and "SortAggregate" not in text
+    assert read_columns(text) == [{"ts", "user_id", "value"}]
+
+
+def test_counts_read_no_column(base):
+    assert read_columns(plan_text(A.row_count(base))) == [set()]
+
+
+def test_filters_reach_the_scan(stored):
+    text = plan_text(filters.in_box(stored, -10, 10, -50, 50).select(*PLACE_COLUMNS))
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", text)[1]
+    for predicate in ("GreaterThanOrEqual(lat,-10.0)", "LessThanOrEqual(lat,10.0)", "GreaterThanOrEqual(lon,-50.0)"):
+        assert predicate in pushed
+    assert read_columns(text) == [set(PLACE_COLUMNS)]
+
+
+@pytest.mark.parametrize(
+    "query, files",
+    [
+        (lambda df: A.hourly_average(df), 1),
+        (lambda df: A.hourly_average(df, "2024-01-15"), 1),
+        (lambda df: filters.between_dates(df, "2024-01-10", "2024-01-12").agg(F.count("*")), 3),
+        (lambda df: filters.between_instants(df, "2024-01-10 23:00:00", "2024-01-11 01:00:00").agg(F.count("*")), 2),
+        (lambda df: series.first_per_hour(df, ["temp"]), 1),
+        (lambda df: series.first_per_bucket(df, "day", ["temp"], descending=True, n=4), 4),
+        (lambda df: paging.page(df, 0, 50), 2),
+        (lambda df: paging.page(df, 500, 50, top_k=100), 3),
+    ],
+)
+def test_date_filters_skip_files(stored, query, files):
+    """The readings lie in 30 files, one per day."""
+    (scan,) = scan_metrics(query(stored))
+    assert scan["numFiles"] <= files
+
+
+def test_dates_come_from_the_layout_alone(stored):
+    assert read_columns(plan_text(A.distinct_dates(stored))) == [set()]
+
+
+def test_lookup_is_a_pushed_top_k(spark, base, tmp_path):
+    path = str(tmp_path / "index")
+    build_location_index(base, path, partitions=4)
+    text = plan_text(lookup_location(spark, path, -58, -170, n=5))
+    assert "EqualTo(lat,-58.0)" in text and "EqualTo(lon,-170.0)" in text
+    assert "TakeOrderedAndProject" in text and "Window" not in text
+    (scan,) = scan_metrics(lookup_location(spark, path, -58, -170))
+    assert scan["numOutputRows"] < 1000  # whole files were skipped by their statistics
