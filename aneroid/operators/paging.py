@@ -41,9 +41,9 @@ def _in_newest_days(df: DataFrame, k: int) -> DataFrame:
     stored = DAY in df.columns
     per_day = df.groupBy(day_of(df).alias("day")).agg(F.count("*").alias("c")).where(F.col("day").isNotNull())
     running = per_day.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("day").desc())))
-    first_day = F.min("day") if stored else F.min("day").cast("timestamp_ntz")
-    edge = running.where(F.col("upto") - F.col("c") < k).agg(first_day).scalar()
-    dated = per_day.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()
+    first_day = F.min(F.when(F.col("upto") - F.col("c") < k, F.col("day")))
+    edge = running.agg(first_day if stored else first_day.cast("timestamp_ntz")).scalar()
+    dated = running.agg(F.coalesce(F.max("upto"), F.lit(0))).scalar()
     at = F.col(DAY) if stored else F.col("timestamp")
     return df.where((at >= edge) | (at.isNull() & (dated < k)))
 

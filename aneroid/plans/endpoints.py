@@ -46,9 +46,13 @@ def comparative_temp_pressure(df: DataFrame) -> DataFrame:
     return first_per_bucket(df, "day", ["temp", "pressure"], n=50)
 
 
-def temperature_vs_daily_data(df: DataFrame) -> DataFrame:
-    """First temperature of each of the oldest 50 days of processing, over the whole table."""
-    return first_per_bucket(df, "day", ["temp"], ts_col="processed_at", n=50)
+def temperature_vs_daily_data(df: DataFrame, among: int | None = None) -> DataFrame:
+    """First temperature of each of the oldest 50 days of processing.
+
+    Over the whole table, or over the ``among`` readings processed first.
+    """
+    rows = df if among is None else df.orderBy(F.col("processed_at").asc_nulls_last(), "id").limit(among)
+    return first_per_bucket(rows, "day", ["temp"], ts_col="processed_at", n=50)
 
 
 def temperature_vs_hourly_data_debug(df: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ def parse_timestamp(raw: Column, mode: str = "strict") -> Column:
     parsed = F.when(raw.rlike(TIMESTAMP_TEXT), raw.try_cast("timestamp_ntz"))
     if mode == "permissive":
         return parsed
-    failure = F.raise_error(F.concat(F.lit("malformed timestamp: "), raw))
-    return F.when(raw.isNotNull() & parsed.isNull(), failure.cast("timestamp_ntz")).otherwise(parsed)
+    failure = F.raise_error(F.concat(F.lit("malformed timestamp: "), raw)).cast("timestamp_ntz")
+    return F.coalesce(parsed, F.when(raw.isNotNull(), failure))
 
 
 def normalize(df: DataFrame, mode: str = "strict") -> DataFrame:

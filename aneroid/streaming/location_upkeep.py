@@ -20,12 +20,13 @@ def maintain_location_index(
 
     A batch costs what the batch holds, not what the index or a busy station holds: nothing stored is
     rewritten, and lookups take the latest row per key. Late readings are ordered by ``processed_at``
-    like all others, so the result equals a full rebuild. One query per index; keep its checkpoint, the
-    batch numbers in it name the loads.
+    like all others, so the result equals a full rebuild. Loads are named by query and batch: a restart
+    from the checkpoint replaces the batch it had not finished, a new query adds to what is there.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        write_load(batch, path, f"batch-{batch_id:012d}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_load(batch, path, f"{query}-{batch_id:012d}")
 
     writer = readings.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -18,7 +18,10 @@ def test_series(df):
     assert E.temperature_vs_hourly_data_experimental(df).collect()[:50] == hours
     assert E.comparative_temp_humidity(df).columns == ["day", "temp", "humidity"]
     assert E.comparative_temp_pressure(df).count() == 30
-    assert E.temperature_vs_daily_data(df).count() == 30
+    daily = E.temperature_vs_daily_data(df).collect()
+    assert len(daily) == 30
+    among = E.temperature_vs_daily_data(df, 500).collect()
+    assert 1 < len(among) < 30 and among == daily[: len(among)]
 
 
 def test_dated_envelopes(df):

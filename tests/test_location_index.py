@@ -96,6 +96,10 @@ def test_stream_equals_rebuild(spark, base, tmp_path):
     maintain_location_index(stream, index, checkpoint).awaitTermination()
     assert len(os.listdir(index)) == 4
 
+    # a query of its own, with a new checkpoint, adds loads and replaces none
+    maintain_location_index(stream, index, f"{checkpoint}-2").awaitTermination()
+    assert len(os.listdir(index)) == 8
+
     # folding the loads into a new base changes nothing
     folded = str(tmp_path / "folded")
     build_location_index(read_location_index(spark, index), folded, partitions=2)

@@ -25,7 +25,7 @@ def test_ties_go_to_the_lowest_id(make, partitions):
 @pytest.mark.parametrize("descending", [False, True])
 def test_limit_is_a_prefix_of_the_whole_series(base, stored, grain, descending):
     whole = tuples(first_per_bucket(base, grain, ["temp"], descending=descending))
-    for n in (1, 3, len(whole), len(whole) + 5):
+    for n in (2, len(whole) + 5):
         assert tuples(first_per_bucket(base, grain, ["temp"], descending=descending, n=n)) == whole[:n]
     assert tuples(first_per_bucket(stored, grain, ["temp"], descending=descending)) == whole
     assert tuples(first_per_bucket(stored, grain, ["temp"], descending=descending, n=3)) == whole[:3]
