@@ -81,7 +81,7 @@ def _id_parts(df: DataFrame) -> list[Column]:
     if isinstance(df.schema["id"].dataType, T.StringType):
         parts, nothing = [F.substring("id", 1, length) for length in range(3, 40, 3)], F.lit("")
     else:
-        parts, nothing = [F.shiftright("id", bits) for bits in (40, 20)], F.lit(0)
+        parts, nothing = [F.shiftright("id", bits) for bits in (48, 32, 16)], F.lit(0)
     return [F.coalesce(part, nothing) for part in [*parts, F.col("id")]]
 
 

@@ -28,3 +28,24 @@ def scan_metrics(df) -> list[dict[str, int]]:
 
     walk(df._jdf.queryExecution().executedPlan())
     return found
+
+
+def shuffled_rows(df) -> list[int]:
+    """Rows written to each shuffle of the main plan, last shuffle first."""
+    df.collect()
+    found = []
+
+    def walk(node) -> None:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
