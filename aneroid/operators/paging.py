@@ -22,6 +22,7 @@ from aneroid.schema import DAY, PAGE_COLUMNS
 
 MAX_LIMIT = 1000
 TOP_K = 10_000
+ROW_GROUPS = 1_000_000  # few enough for a running total over single rows
 LAST_LONG = 2**63 - 1
 
 
@@ -114,7 +115,11 @@ def _narrow(df: DataFrame, offset: int, limit: int, top_k: int) -> tuple[DataFra
         offset -= found["before"]
         if found["rows"] <= top_k:
             return df, offset
-    for part in _id_parts(df):
+    parts = _id_parts(df)
+    while parts:
+        if found["rows"] <= ROW_GROUPS:
+            parts = parts[-1:]
+        part = parts.pop(0)
         key = F.struct(_age(), F.col("id").isNull(), part)
         ends = F.min("k").alias("first"), F.max("k").alias("last")
         found = _touched(df, [key.alias("k")], [F.col("k")], offset, limit, *ends)
