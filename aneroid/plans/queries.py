@@ -12,7 +12,8 @@ from aneroid.operators import aggregates, filters, paging, series, sinks
 from aneroid.operators.adhoc import run_sql
 from aneroid.operators.location_index import build_location_index, lookup_location, read_location_index
 from aneroid.plans import endpoints
-from aneroid.plans.readings import readings, readings_stream, scratch_path
+from aneroid.plans.readings import readings, readings_stream
+from aneroid.scratch import scratch_path
 from aneroid.schema import LISTING_COLUMNS, LOCATION_COLUMNS, PLACE_COLUMNS
 from aneroid.sources.normalize import normalize
 from aneroid.streaming.location_upkeep import maintain_location_index

@@ -1,10 +1,7 @@
-"""The readings view over the driver's ``events`` table, and where queries may write."""
+"""The readings view over the driver's ``events`` table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from aneroid.sources.normalize import normalize
@@ -49,9 +46,3 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same readings as a stream of files."""
     return as_readings(spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet*"))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the cluster names; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='aneroid-')}/{name}-{uuid.uuid4().hex}"
