@@ -18,7 +18,7 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), r"<(?=/?turn)", r"\\\\<")
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), r"<(?=/?turn)", r"\\<")
 
 
 def head(role: Column) -> Column:
