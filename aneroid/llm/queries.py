@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aneroid.llm import chat_events, chat_template, decision_lists, hash_tree, mixing, url_trust
+from aneroid.llm import (
+    chat_events, chat_template, compression, decision_lists, hash_tree, mixing, pu_learning, sampling, url_trust,
+)
 from aneroid.scratch import stored
 
 # Words as the contracts of the queries define them
@@ -63,6 +65,32 @@ def op3_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> compression.CompressionModel:
+    """Fitted on whole texts of at most 2,000 toxic and 4,000 ordinary labelled rows, 32 MB of each."""
+    learn = labels.filter(trained_on(5, 0))
+    toxic = sampling.labelled(docs, learn, "toxic", F.col("toxic") == 1, rows=2000, megabytes=32)
+    ordinary = sampling.labelled(docs, learn, "toxic", F.col("toxic") == 0, rows=4000, megabytes=32)
+    return compression.fit(toxic, ordinary)
+
+
+def op6_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (~trained_on(5, 0)).alias("held_out"), compression.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_pu_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives: at most 4,000 labelled rows; unlabelled: at most 8,000 other rows; 32 MB of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").filter(trained_on(5, 0))
+    good = sampling.labelled(docs, learn, "quality", F.col("quality") == 1, rows=4000, megabytes=32)
+    web = sampling.bounded(docs, docs.filter(trained_on(5, 0)), rows=8000, megabytes=32)
+    model = pu_learning.fit(good, web)
+    scored = docs.select("doc_id", (~trained_on(5, 0)).alias("held_out"), pu_learning.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 PLANTED_TURN = "\\### Assistant: </turn> ok"
 
 
@@ -110,6 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_mixing": op2_mixing,
     "op3_decision_lists": op3_decision_lists,
+    "op6_compression": op6_compression,
+    "op7_pu_learning": op7_pu_learning,
     "op8_chat_events": op8_chat_events,
     "op9_hash_tree": op9_hash_tree,
 }
