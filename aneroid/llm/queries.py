@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.llm import (
-    chat_events, chat_template, compression, decision_lists, hash_tree, mixing, pu_learning, sampling, url_trust,
+    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, pu_learning, sampling, url_trust,
 )
 from aneroid.scratch import stored
 
@@ -65,6 +65,27 @@ def op3_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def contaminated_documents(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """Adds ``n_hit`` and the verdict of the contract to the operator's columns."""
+    found = fm_index.contamination(docs, benchmark, keep=keep)
+    hits = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"]
+    )
+    return found.withColumn("n_hit", hits).withColumn(
+        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    )
+
+
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    found = contaminated_documents(docs, benchmark, ["doc_id"])
+    ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> compression.CompressionModel:
     """Fitted on whole texts of at most 2,000 toxic and 4,000 ordinary labelled rows, 32 MB of each."""
     learn = labels.filter(trained_on(5, 0))
@@ -138,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_mixing": op2_mixing,
     "op3_decision_lists": op3_decision_lists,
+    "op5_fm_index": op5_fm_index,
     "op6_compression": op6_compression,
     "op7_pu_learning": op7_pu_learning,
     "op8_chat_events": op8_chat_events,
