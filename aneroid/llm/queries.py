@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.llm import (
-    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, pu_learning, sampling, url_trust,
+    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, pu_learning, sampling, url_trust,
 )
 from aneroid.scratch import stored
 
@@ -65,6 +65,11 @@ def op3_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def op4_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """Adds ``n_hit`` and the verdict of the contract to the operator's columns."""
     found = fm_index.contamination(docs, benchmark, keep=keep)
@@ -159,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_mixing": op2_mixing,
     "op3_decision_lists": op3_decision_lists,
+    "op4_odd_sketch": op4_odd_sketch,
     "op5_fm_index": op5_fm_index,
     "op6_compression": op6_compression,
     "op7_pu_learning": op7_pu_learning,
