@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.llm import (
-    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, pu_learning, sampling, url_trust,
+    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, pitman_yor, pu_learning, sampling, url_trust,
 )
 from aneroid.scratch import stored
 
@@ -160,6 +160,15 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("grown_shard", hash_tree.shard_of(F.col("doc_id"), hash_tree.grown(tree, 8)))
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pitman_yor.score_corpus(docs, trained_on(7, 2))
+    held_out = F.coalesce(~trained_on(7, 2), F.lit(False))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_mixing": op2_mixing,
@@ -170,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pu_learning": op7_pu_learning,
     "op8_chat_events": op8_chat_events,
     "op9_hash_tree": op9_hash_tree,
+    "op10_pitman_yor": op10_pitman_yor,
 }
 
 ORACLES: dict[str, str] = {}
