@@ -11,12 +11,11 @@ def rounded_avg(value: Column, digits: int) -> Column:
 
     Rounding jumps at half a cent, so a last-bit difference between two summation orders could show.
     The sum is therefore taken over decimals (inputs fixed at 6 places), which add up exactly in any
-    order. Readings that no decimal(18,6) holds (NaN, infinities, beyond 12 digits) fall back to the
-    plain average of the group.
+    order. A group with a reading that no decimal(28,6) holds (NaN, infinities, beyond 22 digits) has its
+    plain average rounded; NaN, infinities and averages too large to have decimals are kept as they are.
     """
     scale = float(10**digits)
-    exact = value.try_cast("decimal(18,6)")
+    exact = value.try_cast("decimal(28,6)")
     mean = F.sum(exact).cast("double") / F.nullif(F.count(value), F.lit(0))
-    plain = F.avg(value)
-    rounded = F.floor(mean * scale + 0.5) / scale
-    return F.when(F.count(exact) == F.count(value), rounded).otherwise(plain)
+    mean = F.when(F.count(exact) == F.count(value), mean).otherwise(F.avg(value))
+    return F.when(F.abs(mean * scale) < 1e15, F.floor(mean * scale + 0.5) / scale).otherwise(mean)

@@ -23,11 +23,6 @@ GRAINS = {
     "hour_of_day": ("hour_start", None),
 }
 
-# The hourly series of one date has no more rows than this, so sorting it as a top-k loses nothing and
-# needs no range partitioning.
-HOURS_PER_DAY = 24
-
-
 def check_grain(grain: str) -> None:
     if grain not in GRAINS:
         raise ValueError(f"unknown grain {grain!r}; expected one of {', '.join(GRAINS)}")

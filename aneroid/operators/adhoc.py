@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aneroid.sources.readers import register
-
 
 def describe(df: DataFrame) -> DataFrame:
     """Columns and types, as rows ``(col_name, data_type, comment)``."""
@@ -20,10 +19,20 @@ def schema_text(df: DataFrame) -> str:
 
 
 def run_sql(spark: SparkSession, df: DataFrame, sql: str, args: dict[str, Any] | None = None) -> DataFrame:
-    """Run SQL in which the readings are called ``sensor_data``.
+    """Run SQL in which the readings are called ``sensor_data``; a view of that name is left as it is.
 
     Values belong in ``args`` as named parameters (``:name``). Trailing semicolons are dropped. Mixed
     TIMESTAMP and TIMESTAMP_NTZ expressions follow the session zone; keep it at UTC.
     """
-    register(df)
-    return spark.sql(sql.rstrip("; \t\r\n"), args=args)
+    own = f"sensor_data_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(own)
+    try:
+        return spark.sql(f"WITH sensor_data AS (SELECT * FROM {own}) {_body(sql)}", args=args)
+    finally:
+        spark.catalog.dropTempView(own)
+
+
+def _body(sql: str) -> str:
+    """The statement in a form that may follow a common table expression."""
+    text = sql.strip("; \t\r\n")
+    return f"SELECT * FROM (\n{text}\n)"

@@ -48,10 +48,10 @@ def chosen_day(df: DataFrame, date: dt.date | str | None) -> Column:
 
 
 def on_day(df: DataFrame, day: Column) -> DataFrame:
-    """Rows of one calendar date, given as ``chosen_day`` returns it."""
-    if DAY in df.columns:
-        return df.where(F.col(DAY) == day)
+    """Rows of one calendar date, given as ``chosen_day`` returns it. A reading without a time is in none."""
     ts = F.col("timestamp")
+    if DAY in df.columns:
+        return df.where((F.col(DAY) == day) & ts.isNotNull())
     return df.where((ts >= day) & (ts < day + F.expr("interval '1' day")))
 
 
@@ -80,7 +80,7 @@ def between_dates(df: DataFrame, first: dt.date | str, last: dt.date | str) -> D
     """Whole days ``first`` to ``last``, both included."""
     first, last = parse_date(first), parse_date(last)
     if DAY in df.columns:
-        return df.where(F.col(DAY).between(F.lit(first), F.lit(last)))
+        return df.where(F.col(DAY).between(F.lit(first), F.lit(last)) & F.col("timestamp").isNotNull())
     ts = F.col("timestamp")
     return df.where((ts >= instant(first)) & (ts < instant(last + ONE_DAY)))
 

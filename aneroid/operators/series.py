@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aneroid.functions.times import GRAINS, HOURS_PER_DAY, bucket_keys, bucket_value, date_label, hour_label
+from aneroid.functions.times import GRAINS, bucket_keys, bucket_value, date_label, hour_label
 from aneroid.operators.filters import day_of, drop_sentinel, on_date, rows_of_day
 from aneroid.schema import DAY
 
@@ -98,7 +98,7 @@ def first_per_hour(
         raise ValueError(f"with_date must be None, 'label' or 'date', not {with_date!r}")
     rows = rows_of_day(df, date, known_places)
     firsts = _first_rows(rows, {"h": F.hour("timestamp")}, [day_of(df).alias("date"), *values], "timestamp")
-    firsts = firsts.orderBy("h").limit(HOURS_PER_DAY)
+    firsts = firsts.orderBy("h")
     label = hour_label(F.col("h")).alias("hour")
     if with_date is None:
         return firsts.select(label, *values)

@@ -25,11 +25,29 @@ def parse_timestamp(raw: Column, mode: str = "strict") -> Column:
     return F.coalesce(parsed, F.when(raw.isNotNull(), failure))
 
 
-def normalize(df: DataFrame, mode: str = "strict") -> DataFrame:
+def in_zone(instant: Column, zone: str) -> Column:
+    """A TIMESTAMP as the TIMESTAMP_NTZ that clocks in ``zone`` show then, whatever the session's zone."""
+    exact = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), exact.cast("decimal(18,6)")
+    )
+    return utc if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
+def _checked(name: str, to: T.DataType) -> Column:
+    """A cast that fails on a value it can't convert, whatever the session's ANSI setting."""
+    value = F.col(name).try_cast(to)
+    text = F.concat(F.lit(f"malformed {name}: "), F.col(name).cast("string"))
+    return F.coalesce(value, F.when(F.col(name).isNotNull(), F.raise_error(text)).cast(to))
+
+
+def normalize(df: DataFrame, mode: str = "strict", zone: str = "UTC") -> DataFrame:
     """The declared columns with the declared types.
 
     Columns the source lacks come back as NULL, undeclared ones are dropped, and ``id`` keeps its own
-    type when that is a string. A stored ``reading_date`` is kept.
+    type when that is a string. ``strict`` fails on any value that its type can't hold, ``permissive`` makes
+    it NULL. A zoned TIMESTAMP becomes what clocks in ``zone`` show. A stored ``reading_date`` is derived
+    anew from the timestamp, so that both always agree.
     """
     if mode not in ("strict", "permissive"):
         raise ValueError(f"mode must be 'strict' or 'permissive', not {mode!r}")
@@ -46,11 +64,13 @@ def normalize(df: DataFrame, mode: str = "strict") -> DataFrame:
             return F.col(name)
         elif name in TIME_COLUMNS and isinstance(have, T.StringType):
             value = parse_timestamp(F.col(name), mode)
+        elif name in TIME_COLUMNS and isinstance(have, T.TimestampType):
+            value = in_zone(F.col(name), zone)
         elif mode == "permissive":
             value = F.col(name).try_cast(field.dataType)
         else:
-            value = F.col(name).cast(field.dataType)
+            value = _checked(name, field.dataType)
         return value.alias(name)
 
-    kept = [F.col(DAY)] if isinstance(source.get(DAY), T.DateType) else []
-    return df.select(*[column(f) for f in SENSOR_SCHEMA.fields], *kept)
+    rows = df.select(*[column(f) for f in SENSOR_SCHEMA.fields])
+    return rows.withColumn(DAY, F.to_date("timestamp")) if isinstance(source.get(DAY), T.DateType) else rows

@@ -6,7 +6,6 @@ them Spark's own error about the missing source reaches the caller.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,34 +34,51 @@ STORE_PROPERTIES = {
 }
 
 
+METADATA = "AWS_S3_USE_INSTANCE_METADATA"
+# Settings of other writers: how Spark commits files does not depend on it.
+WITHOUT_EQUAL = {"AWS_S3_ALLOW_UNSAFE_RENAME"}
+PARTITIONING = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def object_store_options(settings: Mapping[str, str]) -> dict[str, str]:
-    """Reader options for an S3-compatible store. Empty values are left to the cluster's own settings."""
+    """Reader options for an S3-compatible store. Empty values are left to the cluster's own settings;
+    a setting with no equal is an error, as it would change nothing."""
     options = {}
     for key, value in settings.items():
         prop = STORE_PROPERTIES.get(key)
-        if prop is None or value == "":
+        if key in WITHOUT_EQUAL or (key == METADATA and value.lower() != "true"):
+            continue
+        if key == METADATA:
+            options["fs.s3a.aws.credentials.provider"] = "org.apache.hadoop.fs.s3a.auth.IAMInstanceCredentialsProvider"
+            continue
+        if prop is None:
+            raise ValueError(f"unknown store setting {key!r}; expected one of {', '.join(STORE_PROPERTIES)}")
+        if value == "":
             continue
         options[prop] = str(value == "path").lower() if prop.endswith("path.style.access") else value
     return options
 
 
-def clickhouse_options(env: Mapping[str, str] = os.environ, **options: str) -> dict[str, str]:
-    """JDBC options for ClickHouse. Connection settings come from the environment, never from code.
+def clickhouse_options(
+    host: str, port: int | str, database: str, user: str, password: str, **options: str
+) -> dict[str, str]:
+    """JDBC options for ClickHouse: ``query`` for SQL the database runs itself, or ``dbtable``.
 
-    Pass ``dbtable`` for a table, or ``query`` for SQL the database runs itself. For a large table also
-    pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``, or one task reads
-    everything over one connection.
+    A table is read in parallel, so it needs ``partitionColumn``, ``lowerBound``, ``upperBound`` and
+    ``numPartitions``. Timestamps come without a zone, as they are stored.
     """
-    host, port = env.get("CLICKHOUSE_HOST", "127.0.0.1"), env.get("CLICKHOUSE_PORT", "8123")
-    database = env.get("CLICKHOUSE_SENSOR_DATABASE", "default")
-    if "query" not in options:
-        options.setdefault("dbtable", "sensor_data_processed")
+    if ("query" in options) == ("dbtable" in options):
+        raise ValueError("give either dbtable or query")
+    missing = [o for o in PARTITIONING if o not in options]
+    if "dbtable" in options and missing:
+        raise ValueError(f"reading a table needs {', '.join(missing)}")
     return {
         "url": f"jdbc:clickhouse://{host}:{port}/{database}",
         "driver": "com.clickhouse.jdbc.ClickHouseDriver",
-        "user": env.get("CLICKHOUSE_USER", "default"),
-        "password": env.get("CLICKHOUSE_PASSWORD", ""),
+        "user": user,
+        "password": password,
         "fetchsize": "100000",
+        "preferTimestampNTZ": "true",
         **options,
     }
 

@@ -101,3 +101,21 @@ def test_hours_recombine_to_the_day(base):
     joined = hourly.join(counts, hourly.hour_start == counts.h)
     weighted = joined.agg(F.sum(F.col("avg_temp") * F.col("count")) / F.sum("count")).first()[0]
     assert weighted == pytest.approx(A.average_by(base, "all", ["temp"], drop_sentinel=False).first()[0])
+
+
+def test_large_values_are_rounded_too(spark):
+    avg = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x double").agg(rounded_avg(F.col("x"), 2)).first()[0]
+    assert avg(1000000000000.6173) == 1000000000000.62
+    assert avg(1e300, 1e300) == 1e300 and avg(1e25) == 1e25
+
+
+def test_undated_readings_of_a_stored_day_do_not_cost_an_hour(spark, make, tmp_path):
+    from aneroid.operators.aggregates import hourly_average
+    from aneroid.operators.series import first_per_hour
+    from aneroid.schema import DAY
+
+    rows = [{"timestamp": f"2025-02-21 {h:02d}:10:00", "temp": float(h)} for h in range(24)] + [{}, {}]
+    df = make(*rows).withColumn(DAY, F.lit("2025-02-21").cast("date"))
+    hours = [f"{h:02d}" for h in range(24)]
+    assert [r.hour for r in hourly_average(df).collect()] == hours
+    assert [r.hour for r in first_per_hour(df, ["temp"], "2025-02-21").collect()] == hours

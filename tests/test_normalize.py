@@ -62,3 +62,31 @@ def test_parsing_ignores_the_session_zone(spark):
         assert row.timestamp == dt.datetime(2025, 3, 9, 2, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_strict_means_every_value(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for column, value in (("temp", "abc"), ("sats", "1.5x"), ("lat", "north")):
+            df = spark.createDataFrame([(1, value)], f"id long, {column} string")
+            with pytest.raises(Exception, match="malformed"):
+                normalize(df).collect()
+        df = spark.createDataFrame([(1, "2.5", None)], "id long, temp string, lat string")
+        row = normalize(df).first()
+        assert (row.temp, row.lat) == (2.5, None)
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+@pytest.mark.parametrize("session", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_zoned_timestamps_do_not_follow_the_session(spark, session):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        df = spark.sql("SELECT 1L AS id, timestamp '2024-01-15 00:30:00.000001Z' AS timestamp, date '2020-01-01' AS reading_date")
+        row = normalize(df).first()
+        assert row.timestamp == dt.datetime(2024, 1, 15, 0, 30, 0, 1) and row.reading_date == dt.date(2024, 1, 15)
+        assert normalize(df, zone="Asia/Tokyo").first().timestamp == dt.datetime(2024, 1, 15, 9, 30, 0, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
