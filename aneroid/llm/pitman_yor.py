@@ -378,7 +378,7 @@ def score_corpus(
             for into, x in zip(totals, sums, strict=True):
                 into[rows] += x
         return pd.DataFrame({
-            "doc_id": pd.array(np.where(missing, 0, ids), "Int64").where(~missing) if missing.any() else ids,
+            "doc_id": pd.arrays.IntegerArray(ids.copy(), missing.copy()),
             "n_tokens": counts, "n_known": totals[2].astype(np.int64), "train_tokens": np.int64(n_tokens),
             "base_score": totals[0], "score": totals[1],
         })

@@ -1,0 +1,95 @@
+"""The pipeline stage by stage, and that every operator is registered."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from aneroid.llm import fm_index, mixing
+from aneroid.llm.queries import count_words
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Rows after each stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [("documents", docs.toPandas())]
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append((name, docs.toPandas()))
+    return dict(out)
+
+
+def test_all_operators_are_registered():
+    names = list(__spark_entry__.queries())
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_stages_keep_the_columns_of_documents(stages):
+    before = stages["documents"].columns.tolist()
+    assert all(stages[n].columns.tolist() == before for n in list(stages)[:-1])
+    assert stages["sharding"].columns.tolist() == [*before, "shard", "slot"]
+
+
+def test_toxic_documents_go_and_most_others_stay(spark, stages):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().set_index("doc_id").toxic
+    kept = set(stages["toxicity"].doc_id)
+    clean = [i for i in labels.index if labels[i] == 0]
+    assert sum(i in kept for i in clean) >= 0.97 * len(clean)
+
+
+def test_one_document_of_each_group_stays(stages):
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+    sets = {r.doc_id: shingles(r.text) for r in stages["toxicity"].itertuples()}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and group[a] != group[b] and near(a, b):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert sorted(stages["near_duplicates"].doc_id) == sorted(set(group.values()))
+
+
+def test_contaminated_documents_go(spark, stages):
+    rest = spark.createDataFrame(stages["near_duplicates"])
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    hit = {r["doc_id"] for r in fm_index.contamination(rest, bench).collect() if 20 * sum(s["end_word"] - s["first_word"] for s in r["spans"]) >= r["n_words"] > 0 and r["spans"]}
+    assert hit and set(stages["decontamination"].doc_id) == set(stages["near_duplicates"].doc_id) - hit
+
+
+def test_documents_are_repeated_as_the_mix_says(spark, stages):
+    docs = spark.createDataFrame(stages["decontamination"])
+    placed = mixing.mix(docs, count_words(), (5, 2, 1))[0].toPandas()
+    expected = {r.doc_id: round(r.taken / r.size + 1e-12) for r in placed.itertuples() if r.size}
+    assert stages["mixing"].doc_id.value_counts().to_dict() == {k: v for k, v in expected.items() if v}
+
+
+def test_slots_are_gapless(stages):
+    for _, part in stages["sharding"].groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert len(stages["sharding"]) == len(stages["mixing"])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_pass_every_stage(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (None, "", None, "a", 0), (None, "no id", "en", None, 5), (None, "no id", "en", None, 5), (1, None, "en", "a", None), (2, " \n", "en", "a", 2), (3, "w" * 70_000, "en", "b", 70_000)]
+    got = stage(spark, spark.createDataFrame(rows, schema), SF)
+    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = {(r["doc_id"], r["text"]) for r in got.collect()}
+    assert {(None, None), (None, ""), (1, None), (2, " \n")} <= kept
+    assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
