@@ -10,7 +10,8 @@ in the order of the page, and no reading is left out, so the page is exact.
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,14 @@ ROW_GROUPS = 1_000_000  # few enough for a running total over single rows
 LAST_LONG = 2**63 - 1
 
 
-def _newest_first() -> list[Column]:
-    return [F.col("timestamp").desc_nulls_last(), F.col("id").asc_nulls_last()]
+def newest_first(df: DataFrame) -> list[Column]:
+    """The order of pages: newest first, then by id, then by every other column.
+
+    Timestamps and ids may repeat. As the order goes over all columns, only rows that are equal throughout
+    can change places, and pages taken one after the other hold every reading once.
+    """
+    rest = [c for c in df.columns if c not in ("timestamp", "id", DAY)]
+    return [F.col("timestamp").desc_nulls_last(), F.col("id").asc_nulls_last(), *map(F.asc_nulls_first, rest)]
 
 
 def check_page(offset: int, limit: int) -> None:
@@ -133,36 +140,49 @@ def _narrow(df: DataFrame, offset: int, limit: int, top_k: int) -> tuple[DataFra
 def page(
     df: DataFrame, offset: int = 0, limit: int = 50, columns: list[str] | None = None, top_k: int = TOP_K
 ) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the readings, newest first, ties by id."""
+    """Rows ``offset`` to ``offset + limit`` of the readings in the order of ``newest_first``."""
     check_page(offset, limit)
     if offset + limit > top_k:
         rows, offset = _narrow(df, offset, limit, top_k)
     else:
         rows = _in_newest_days(df, offset + limit)
-    return rows.orderBy(*_newest_first()).offset(offset).limit(limit).select(*(columns or PAGE_COLUMNS))
+    return rows.orderBy(*newest_first(df)).offset(offset).limit(limit).select(*(columns or PAGE_COLUMNS))
 
 
 def page_after(
     df: DataFrame,
-    last_timestamp: dt.datetime | str | None,
-    last_id: int | str,
+    last: Mapping[str, Any],
+    served: int = 1,
     limit: int = 50,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """The page that follows the reading ``(last_timestamp, last_id)``: its cost does not grow with depth.
+    """The page that follows the reading ``last``, of whose equals ``served`` have been shown.
 
-    ``last_timestamp`` is None once the undated readings are reached.
+    ``last`` has ``timestamp`` and ``id`` (either may be None) and whichever other columns tell readings apart
+    that share both; a column it lacks is not compared. Readings with the same timestamp and id come in the
+    order of the other columns, and of those equal to ``last`` in all its columns the first ``served`` are
+    skipped, so no reading is lost or shown twice. Days after the cursor's are not read when readings are
+    stored by date; the days before it are counted for the page.
     """
     check_page(0, limit)
-    ts, later_id = F.col("timestamp"), (F.col("id") > last_id) | F.col("id").isNull()
-    if last_timestamp is None:
-        rows = df.where(ts.isNull() & later_id)
-    else:
-        last = instant(last_timestamp)
-        rows = df.where((ts < last) | ((ts == last) & later_id) | ts.isNull())
-        if DAY in df.columns:
-            rows = rows.where((F.col(DAY) <= F.to_date(last)) | F.col(DAY).isNull())
-    return page(rows, 0, limit, columns)
+    ts = F.col("timestamp")
+    steps = [c for c in ["timestamp", "id", *df.columns] if c in last and c != DAY]
+    later, same = F.lit(False), F.lit(True)
+    for name in dict.fromkeys(steps):
+        value, col = last[name], F.col(name)
+        if name == "timestamp":
+            value = None if value is None else instant(value)
+            beyond = F.lit(False) if value is None else (ts < value) | ts.isNull()
+        elif name == "id":
+            beyond = F.lit(False) if value is None else (col > F.lit(value)) | col.isNull()
+        else:
+            beyond = col.isNotNull() if value is None else col > F.lit(value)
+        later = later | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & (col.isNull() if value is None else col.eqNullSafe(value if isinstance(value, Column) else F.lit(value)))
+    rows = df.where(later | same)
+    if DAY in df.columns and last["timestamp"] is not None:
+        rows = rows.where((F.col(DAY) <= F.to_date(instant(last["timestamp"]))) | F.col(DAY).isNull())
+    return page(rows, served, limit, columns)
 
 
 def page_envelope(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
