@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from aneroid.plans.queries import BOX, DATE, INSTANTS, POINT, RANGE
+from aneroid.plans.queries import BOX, DATE, INSTANTS, OVER_READINGS, POINT, RANGE
+from aneroid.plans.readings import READING_EXPRESSIONS, hard
 
 READINGS = """
     SELECT event_id AS id,
@@ -89,6 +90,21 @@ PAGE_RECORD = (
     "{" + ", ".join(f"'{c}': {c}" for c in LISTING.split(", ")) + f", 'timestamp': {ISO}" + "}"
 )
 
+LATEST_LABEL = "SELECT max(strftime(timestamp, '%Y-%m-%d')) FROM sensor_data"
+LATEST_KNOWN_LABEL = f"{LATEST_LABEL} WHERE {KNOWN}"
+
+
+def _hour_envelope(name: str, where: str, date: str, label: bool = False, day: bool = False) -> str:
+    """The first reading of each hour as one JSON array, beside a date."""
+    shown = "'date': strftime(timestamp, '%Y-%m-%d'), " if label or day else ""
+    return f"""
+        SELECT ({date}) AS date,
+               cast(to_json(list({{{shown}'hour': strftime(timestamp, '%H'), 'temp': temp}}
+                                 ORDER BY hour(timestamp))) AS varchar) AS {name}
+        FROM (SELECT *, row_number() OVER (PARTITION BY hour(timestamp) ORDER BY timestamp, id) AS rn
+              FROM sensor_data WHERE {where}) WHERE rn = 1"""
+
+
 SQL: dict[str, str] = {
     "hourly_avg_latest": _hourly_avg(LATEST_KNOWN),
     "hourly_avg_on_date": _hourly_avg(ON_DATE),
@@ -113,6 +129,7 @@ SQL: dict[str, str] = {
         WHERE {ON_DATE} ORDER BY timestamp, id LIMIT 10""",
     "avg_all": "SELECT avg(temp) AS avg_temp FROM sensor_data",
     "avg_on_date": f"SELECT avg(temp) AS avg_temp FROM sensor_data WHERE {ON_DATE}",
+    "min_on_date": f"SELECT min(temp) AS min_temp FROM sensor_data WHERE {ON_DATE}",
     "max_on_date": f"SELECT max(temp) AS max_temp FROM sensor_data WHERE {ON_DATE}",
     "avg_by_date_on_date": _avg("cast(timestamp AS date) AS date", f"{KNOWN} AND {ON_DATE}"),
     "avg_by_date_range": _avg("cast(timestamp AS date) AS date", f"{KNOWN} AND {IN_RANGE}"),
@@ -161,6 +178,9 @@ SQL: dict[str, str] = {
                cast(to_json(list({{'hour': hour, 'temperature': temperature, 'humidity': humidity}}
                                  ORDER BY hour)) AS varchar) AS records
         FROM ({_hourly_avg(LATEST_KNOWN, ROUNDED)})""",
+    "first_per_hour_envelope": _hour_envelope("temp_hourly", LATEST, LATEST_LABEL),
+    "first_per_hour_debug_envelope": _hour_envelope("temp_hourly", LATEST, LATEST_KNOWN_LABEL, label=True),
+    "single_date_envelope": _hour_envelope("records", f"{KNOWN} AND {LATEST_KNOWN}", LATEST_KNOWN_LABEL, day=True),
     "location_index": LOCATION,
     "location_index_streamed": LOCATION,
     "point_lookup_indexed": f"SELECT * FROM ({LOCATION}) WHERE {AT_POINT}",
@@ -170,8 +190,15 @@ SQL: dict[str, str] = {
 }
 
 
-def _over_readings(sql: str) -> str:
-    return f"WITH sensor_data AS ({READINGS})\n{sql}"
+def _over(view: str, sql: str) -> str:
+    return f"WITH sensor_data AS ({view})\n{sql}"
+
 
+HARD_READINGS = f"SELECT {', '.join(hard(READING_EXPRESSIONS, 'varchar', 'timestamp'))} FROM events".replace(
+    " AS string)", " AS varchar)"
+)
 
-ORACLES: dict[str, str] = {name: _over_readings(sql) for name, sql in SQL.items()}
+ORACLES: dict[str, str] = {
+    **{name: _over(READINGS, sql) for name, sql in SQL.items()},
+    **{f"hard_{name}": _over(HARD_READINGS, SQL[name]) for name in OVER_READINGS},
+}

@@ -12,7 +12,7 @@ from aneroid.operators import aggregates, filters, paging, series, sinks
 from aneroid.operators.adhoc import run_sql
 from aneroid.operators.location_index import build_location_index, lookup_location, read_location_index
 from aneroid.plans import endpoints
-from aneroid.plans.readings import readings, readings_stream
+from aneroid.plans.readings import hard_readings, readings, readings_stream
 from aneroid.scratch import scratch_path
 from aneroid.schema import LISTING_COLUMNS, LOCATION_COLUMNS, PLACE_COLUMNS
 from aneroid.sources.normalize import normalize
@@ -86,6 +86,7 @@ OVER_READINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # calendar averages and extremes
     "avg_all": lambda df: aggregates.average_by(df, "all", ["temp"], drop_sentinel=False),
     "avg_on_date": lambda df: aggregates.average_by(df, "all", ["temp"], DATE, DATE, drop_sentinel=False),
+    "min_on_date": lambda df: aggregates.extreme(df, "temp", "min", DATE),
     "max_on_date": lambda df: aggregates.extreme(df, "temp", "max", DATE),
     "avg_by_date_on_date": lambda df: aggregates.average_by(df, "date", ["temp"], DATE, DATE),
     "avg_by_date_range": lambda df: aggregates.average_by(df, "date", ["temp"], *RANGE),
@@ -123,7 +124,16 @@ OVER_READINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "adhoc_sql": lambda df: run_sql(df.sparkSession, df, ADHOC, {"country": "CA"}),
     "json_records": lambda df: sinks.json_records(df.select("id", "device_id", "temp", "humidity", "timestamp")),
     "hourly_avg_envelope": lambda df: endpoints.temperature_humidity_hourly_data(df).select(
-        F.col("meta.date").alias("date"), F.to_json("records").alias("records")
+        F.col("meta.date").alias("date"), F.to_json("records", sinks.JSON_OPTIONS).alias("records")
+    ),
+    "first_per_hour_envelope": lambda df: endpoints.temperature_vs_hourly_data(df).select(
+        "date", F.to_json("temp_hourly", sinks.JSON_OPTIONS).alias("temp_hourly")
+    ),
+    "first_per_hour_debug_envelope": lambda df: endpoints.temperature_vs_hourly_data_debug(df).select(
+        "date", F.to_json("temp_hourly", sinks.JSON_OPTIONS).alias("temp_hourly")
+    ),
+    "single_date_envelope": lambda df: endpoints.temperature_vs_hourly_single_date(df).select(
+        F.col("meta.date").alias("date"), F.to_json("records", sinks.JSON_OPTIONS).alias("records")
     ),
 }
 
@@ -150,7 +160,12 @@ def _over_readings(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
     return lambda spark, sf_dir: query(readings(spark, sf_dir))
 
 
+def _over_hard_readings(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(hard_readings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _over_readings(query) for name, query in OVER_READINGS.items()},
+    **{f"hard_{name}": _over_hard_readings(query) for name, query in OVER_READINGS.items()},
     **STORED,
 }
