@@ -120,7 +120,7 @@ def judge(
     verdicts = dict((rule, verdict) for verdict, rule in rules)
     told = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     told = told.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    given = F.get(F.map_values(F.lit(None)), F.lit(0)) if not rules else F.element_at(
+    given = F.lit(None).cast("string") if not rules else F.element_at(
         F.create_map(*[F.lit(x) for pair in verdicts.items() for x in pair]), F.col("rule")
     )
     told = told.withColumn("_given", given)

@@ -195,3 +195,9 @@ def test_parent_domains_and_empty_tables(spark):
     assert judged(spark, []) == {}
     clash = df.withColumn("host", F.lit("old")).withColumn("verdict", F.lit("old"))
     assert url_trust.judge(clash, RULES).filter("host = 'old' OR verdict = 'old'").count() == 0
+
+
+def test_without_rules_nothing_is_blocked(spark):
+    df = spark.createDataFrame([(1, "http://a.net/es/1", None)], "page_id long, url string, html string")
+    row = url_trust.judge(df, []).first()
+    assert (row["rule"], row["verdict"], row["trust"], row["distrust"]) == (None, "allow", 0.0, 0.0)
