@@ -45,7 +45,10 @@ def check_page(offset: int, limit: int) -> None:
 
 
 def _in_newest_days(df: DataFrame, k: int) -> DataFrame:
-    """Only the days that hold the newest ``k`` readings; for stored days, counting reads no data column."""
+    """Only the days that hold the newest ``k`` readings; for stored days, counting reads no data column.
+
+    It still opens every file.
+    """
     stored = DAY in df.columns
     per_day = df.groupBy(day_of(df).alias("day")).agg(F.count("*").alias("c")).where(F.col("day").isNotNull())
     running = per_day.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("day").desc())))

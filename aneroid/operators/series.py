@@ -28,8 +28,9 @@ def _first_rows(df: DataFrame, keys: dict[str, Column], columns: list[Column | s
 def _in_first_buckets(df: DataFrame, grain: str, ts_col: str, descending: bool, n: int) -> DataFrame:
     """Only the readings that can be in the first ``n`` buckets of the order.
 
-    Finding those buckets reads one column (none but the stored dates, if there are any); the rows to
-    be ranked then come from those buckets alone instead of from the whole table. Readings without a
+    Finding those buckets reads one column of the whole table (with stored dates no data column, though
+    every file is opened and gives a row per reading); the rows to be ranked then come from those buckets
+    alone. Readings without a
     timestamp sort last, so they stay only while there are fewer than ``n`` dated buckets.
     """
     stored_day = ts_col == "timestamp" and DAY in df.columns
