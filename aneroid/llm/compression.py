@@ -97,11 +97,18 @@ def contexts(texts: Sequence[str]) -> Counter:
 
     A passage copied into many documents counts once, so its words don't look typical.
     """
-    seen = set()
+    number: dict[bytes, int] = {b"": 0}
+    triples = []
     for text in texts:
-        words = [b"", *windows(text), b""]
-        seen.update(zip(words, words[1:], words[2:], strict=False))
-    return Counter(word for _, word, _ in seen if word)
+        ids = np.array([0, *(number.setdefault(w, len(number)) for w in windows(text)), 0], np.int64)
+        triples.append(np.stack([ids[:-2], ids[1:-1], ids[2:]]))
+    if not triples:
+        return Counter()
+    before, word, after = np.concatenate(triples, axis=1)
+    size = len(number)
+    surroundings = np.unique(word * size + before) if size > 1 << 20 else np.unique((word * size + before) * size + after)
+    counts = np.bincount(surroundings // (size if size > 1 << 20 else size * size), minlength=size)
+    return Counter({w: int(n) for w, n in zip(number, counts, strict=True) if n and w})
 
 
 def stems(words: Counter, shortest: int = 4, among: set[bytes] | None = None) -> Counter:
@@ -124,10 +131,11 @@ def fit(
     texts)`` surroundings and, at the lower end of that count's error, ``contrast`` times as often as ordinary texts, and the words whose beginning is
     used so, the most frequent last; the ordinary dictionary gets the words that recur in ordinary texts. Their sizes are
     bounded by ``kilobytes``. The weights are a logistic regression over all the given texts. With texts of
-    one kind only, or none, every score is that kind's (smoothed) share.
+    one kind only, or none, nothing can be told apart: every score is the (smoothed) share of toxic texts, but
+    below a half.
     """
     if not toxic or not ordinary:
-        share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
+        share = min(0.49, (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1))
         return CompressionModel(b" ", b" ", (0.0, 0.0, 0.0, math.log(share / (1 - share))))
     bad, usual = contexts(toxic), contexts(ordinary)
     n_bad, n_usual = max(1, bad.total()), max(1, usual.total())
