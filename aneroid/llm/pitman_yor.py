@@ -29,7 +29,7 @@ from aneroid.llm.words import chunks, mix
 BEGIN, END = (mix(np.array([x], np.uint64))[0] for x in (0xB0, 0xE0))
 CONTEXT_BITS = 40  # contexts whose hashes agree in so many bits share a restaurant; words have 64
 FLUSH_TOKENS, FLUSH_ROWS = 1 << 21, 1 << 15
-PART_TOKENS = 2_500_000
+PART_TOKENS = 1_500_000
 BLOCK = 64  # beyond so many customers of a dish, those of 1 / BLOCK of them are seated in one draw
 
 
