@@ -6,8 +6,8 @@ sampled by Gibbs sweeps, and predictive probabilities are averaged over several
 
 The tokens are shuffled once, by w. So each part of the vocabulary has all contexts of its words, and their
 restaurants and the parent's counts are sampled together. What a part can't see are the sums over all words of
-one context: for the sweeps it estimates them from its own share, as every part holds a random share of the
-vocabulary; the sampled sums are then added up over the parts and sent back for the probabilities.
+one context, those over all words, and those of words that are spread over the parts: after every sweep they are
+added up over the parts and sent back, so that each sweep has the same sums as if there were one part.
 """
 
 from __future__ import annotations
@@ -211,82 +211,176 @@ class Part:
         self.hot_here = np.array([a < len(self.words) and self.words[a] == h for a, h in zip(self.hot_at, hot, strict=True)], bool)
         self.is_hot = np.zeros(len(self.words), bool)
         self.is_hot[self.hot_at[self.hot_here]] = True
-        self._sample(np.random.default_rng([settings.seed, seed]))
-
-    def _sample(self, rng: np.random.Generator) -> None:
-        """Gibbs sweeps: context restaurants given the parent, then the parent given their tables."""
-        s, share = self.settings, self.parts
+        self.seed, self.hot, self.seating = seed, hot, None
         seen = np.flatnonzero(self.pair_count)
         order = seen[np.argsort(-self.pair_count[seen], kind="stable")]
-        many = order[self.pair_count[order] > 1]  # a dish with one customer has one table
-        tables = (self.pair_count > 0).astype(np.int64)
-        spread = np.where(self.is_hot, share, 1)  # of a hot word a part has only a share of the contexts
-        vocabulary = max(1, int((self.word_count > 0).sum()) * share)
-        self.tables, self.parent_customers, self.parent_tables = [], [], []
-        parent_total = max(1.0, float((self.word_count > 0).sum()) * share)
-        for sweep in range(s.burn_in + s.samples):
-            customers = np.bincount(self.pair_word, weights=tables, minlength=len(self.words)).astype(np.int64)
-            by_size = np.argsort(-customers, kind="stable")
-            base = (s.parent_strength + s.parent_discount * parent_total) / (vocabulary + 1)
-            parent = np.zeros(len(self.words), np.int64)
-            parent[by_size] = seat(customers[by_size], np.full(len(by_size), base), s.parent_discount, rng)
-            parent_total = max(1.0, float(parent.sum()) * share)
-            total = float(customers.sum()) * share
-            chance = (np.maximum(0, customers - s.parent_discount * parent) * spread + base) / (s.parent_strength + total)
-            if sweep >= s.burn_in:
-                self.tables.append(tables.copy())
-                self.parent_customers.append(customers)
-                self.parent_tables.append(parent)
-            if len(many):
-                here = np.bincount(self.pair_context, weights=tables, minlength=len(self.contexts))
-                everywhere = here * (1 + (share - 1) * here / (here + 3))  # a rare context is likely in this part only
-                new = (s.strength + s.discount * everywhere[self.pair_context[many]]) * chance[self.pair_word[many]]
-                tables[many] = seat(self.pair_count[many], new, s.discount, rng)
+        self.many = order[self.pair_count[order] > 1]  # a dish with one customer has one table
+
+    def repeated(self) -> list[np.ndarray]:
+        """What the sweeps need, for Seating."""
+        n, trained = len(self.contexts), self.pair_count > 0
+        hot_count = np.zeros(len(self.hot), np.int64)
+        hot_count[self.hot_here] = self.word_count[self.hot_at[self.hot_here]]
+        return [
+            _planes(self.contexts),
+            np.bincount(self.pair_context, weights=self.pair_count, minlength=n).astype(np.uint32),
+            np.bincount(self.pair_context, weights=trained, minlength=n).astype(np.uint32),
+            self.pair_count[self.many].astype(np.uint32), self.pair_word[self.many].astype(np.uint32), self.pair_context[self.many].astype(np.uint32),
+            np.bincount(self.pair_word, weights=trained, minlength=len(self.words)).astype(np.uint32),
+            np.flatnonzero(self.hot_here).astype(np.uint32), self.hot_at[self.hot_here].astype(np.uint32), hot_count,
+            np.array([float(self.word_count.sum()), float(((self.word_count > 0) & ~self.is_hot).sum())]),
+        ]
+
+    def _alone(self) -> Seating:
+        """All sweeps, where this part is the only one."""
+        if self.seating is None:
+            self.seating = Seating(self.repeated(), self.settings, 1, self.seed)
+            for sweep in range(self.settings.burn_in + self.settings.samples):
+                self.seating.sweep(sweep)
+                told = add_up(0, sweep, [x for _, x in self.seating.ask(sweep)], self.settings)
+                self.seating.hear(sweep, [(0, x) for x in told])
+        return self.seating
 
     def sums(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Per context: training tokens, and tables in each sample."""
-        n = len(self.contexts)
-        rows = [self.pair_count, *self.tables]
-        return self.contexts, [np.bincount(self.pair_context, weights=x, minlength=n).astype(np.int64) for x in rows]
+        return self.contexts, self._alone().totals
 
     def scalars(self) -> np.ndarray:
-        """Sums that every part needs: tokens, words, the parent's customers and tables, and the hot words' counts."""
-        out = [float(self.word_count.sum()), float(((self.word_count > 0) & ~self.is_hot).sum())]
-        out += [float(x.sum()) for x in (*self.parent_customers, *self.parent_tables)]
-        for at, here in zip(self.hot_at, self.hot_here, strict=True):
-            out += [float(x[at]) if here else 0.0 for x in (self.word_count, *self.parent_customers, *self.parent_tables)]
-        return np.array(out)
+        """Training tokens, words in them, and the hot words' counts."""
+        return self._alone().scalars
 
     def score(self, totals: list[np.ndarray], scalars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Per token: base and model log10 probability and whether the word is known; and the training tokens."""
         s, k = self.settings, self.settings.samples
         n_tokens, vocabulary = scalars[:2]
-        all_customers, all_tables = scalars[2 : 2 + k], scalars[2 + k : 2 + 2 * k]
         count = self.word_count.astype(float)
-        customers = [x.astype(float) for x in self.parent_customers]
-        tables = [x.astype(float) for x in self.parent_tables]
-        width = 1 + 2 * k
-        for h, (at, here) in enumerate(zip(self.hot_at, self.hot_here, strict=True)):
-            of = scalars[2 + 2 * k + h * width : 2 + 2 * k + (h + 1) * width]
-            vocabulary += of[0] > 0
-            if here:
-                count[at] = of[0]
-                for x, value in zip((*customers, *tables), of[1:], strict=True):
-                    x[at] = value
+        count[self.hot_at[self.hot_here]] = scalars[2:][self.hot_here]
         base = np.log10((count + 1) / (n_tokens + vocabulary + 1))
         chance = np.zeros(len(self.pair_count))
         context_count = totals[0].astype(float)[self.pair_context]
-        for j in range(k):
-            parent = (customers[j] - s.parent_discount * tables[j] + (s.parent_strength + s.parent_discount * all_tables[j]) / (vocabulary + 1)) / (
-                s.parent_strength + all_customers[j]
-            )
+        for j, (seated, parent) in enumerate(self.seating.samples):
+            tables = (self.pair_count > 0).astype(np.int64)
+            tables[self.many] = seated
             back = s.strength + s.discount * totals[1 + j].astype(float)[self.pair_context]
-            own = self.pair_count - s.discount * self.tables[j]
+            own = self.pair_count - s.discount * tables
             chance += (own + back * parent[self.pair_word]) / (s.strength + context_count)
         word = self.pair_word[self.token_pair]
         return base[word], np.log10(chance / k)[self.token_pair], (count > 0)[word], n_tokens
 
 
+class Seating:
+    """The tables of one part. Gibbs sweeps: context restaurants given the parent, then the parent given their tables.
+
+    A round is ``sweep``, ``ask``, ``add_up`` at the owners of contexts and hot words, and ``hear``. Before the
+    first round every pair and every word has one table. Only pairs with several customers are seated anew.
+    """
+
+    def __init__(self, repeated: list[np.ndarray], settings: Settings, parts: int, seed: int, state: bytes | None = None):
+        planes, *rest = repeated
+        self.settings, self.parts, self.seed = settings, parts, seed
+        self.contexts = _from_planes(planes)
+        self.context_count, self.context_pairs, self.count, self.word, self.context, self.pairs, self.hot_index, self.hot_word, self.hot_count, self.own = rest
+        self.count, self.pairs = self.count.astype(np.int64), self.pairs.astype(np.int64)
+        self.wanted = np.zeros(len(self.contexts), bool)
+        self.wanted[self.context] = True
+        self.samples: list[tuple[np.ndarray, np.ndarray]] = []  # tables, and the parent's probability of each word
+        self.base, self.tables, self.parent = 0.0, np.ones(len(self.count), np.int64), np.minimum(self.pairs, 1)
+        if state is not None:
+            tables, self.parent, base, *samples = unpack(state)
+            self.tables, self.base = tables.astype(np.int64), float(base[0])
+            self.samples = list(zip(samples[::2], samples[1::2], strict=True))
+
+    def state(self) -> bytes:
+        return pack(self.tables.astype(np.uint32), self.parent, np.array([self.base]), *(x for t, c in self.samples for x in (t.astype(np.uint32), c)))
+
+    def customers(self) -> np.ndarray:
+        extra = np.bincount(self.word, weights=self.tables - 1, minlength=len(self.pairs))
+        return self.pairs + extra.astype(np.int64)
+
+    def sweep(self, sweep: int) -> None:
+        """Seats the pairs, then the words, with the sums heard last."""
+        if not sweep:
+            return
+        s, rng = self.settings, np.random.default_rng([self.settings.seed, self.seed, sweep])
+        everywhere = np.zeros(len(self.contexts))
+        everywhere[self.wanted] = self.totals[0]
+        new = (s.strength + s.discount * everywhere[self.context]) * self.chance[self.word]
+        self.tables = seat(self.count, new, s.discount, rng)
+        customers = self.customers()
+        customers[self.hot_word] = 0  # seated by their owners
+        by_size = np.argsort(-customers, kind="stable")
+        self.parent = np.zeros(len(customers), np.int64)
+        self.parent[by_size] = seat(customers[by_size], np.full(len(by_size), self.base), s.parent_discount, rng)
+
+    def ask(self, sweep: int) -> list[tuple[int, list[np.ndarray]]]:
+        """For each owner this part's sums. Totals return for the first contexts in a message, which are sorted.
+
+        In the last sweep they return for all contexts, with the training tokens and the tables of each sample.
+        """
+        n, last = len(self.contexts), sweep == self.settings.burn_in + self.settings.samples - 1
+        tables = [*(t for t, _ in self.samples), self.tables] if last else [self.tables]
+        sums = [self.context_pairs + np.bincount(self.context, weights=t.astype(np.int64) - 1, minlength=n).astype(np.int64) for t in tables]
+        sums = [self.context_count, *sums] if last else sums
+        first = np.arange(n) if last else np.flatnonzero(self.wanted)
+        others = np.flatnonzero(~self.wanted & (self.context_pairs > 0)) if not last else first[:0]
+        customers = self.customers()
+        hot = np.zeros(len(self.hot_count), np.int64)
+        hot[self.hot_index] = customers[self.hot_word]
+        plain = np.ones(len(customers), bool)
+        plain[self.hot_word] = False
+        scalars = np.array([*self.own, customers[plain].sum(), self.parent[plain].sum()], float)
+        cuts = [np.searchsorted(_owner(self.contexts[x], self.parts), np.arange(self.parts + 1)) for x in (first, others)]
+        out = []
+        for o in range(self.parts):
+            at = [x[c[o] : c[o + 1]] for x, c in zip((first, others), cuts, strict=True)]
+            if o == 0 or o < len(hot) or len(at[0]) or len(at[1]):
+                out.append((o, [
+                    *(_planes(self.contexts[x]) for x in at), self.hot_count[o :: self.parts], hot[o :: self.parts],
+                    scalars if o == 0 else scalars[:0], np.array([self.base]), *(x[np.concatenate(at)].astype(np.uint32) for x in sums),
+                ]))
+        return out
+
+    def hear(self, sweep: int, answers: list[tuple[int, list[np.ndarray]]]) -> None:
+        """Takes the totals, given by owner in their order."""
+        s = self.settings
+        hot = [np.zeros(len(self.hot_count), np.int64) for _ in range(3)]
+        for o, answer in answers:
+            for into, x in zip(hot, answer[:3], strict=True):
+                into[o :: self.parts] = x
+        tokens, plain, all_customers, all_tables = next(a[3] for o, a in answers if o == 0)
+        self.totals = [np.concatenate(x) for x in zip(*(a[4:] for _, a in answers), strict=True)]
+        hot_count, hot_customers, hot_tables = hot
+        vocabulary = plain + (hot_count > 0).sum()
+        self.scalars = np.array([tokens, vocabulary, *hot_count], float)
+        customers, parent = self.customers(), self.parent.copy()
+        customers[self.hot_word], parent[self.hot_word] = hot_customers[self.hot_index], hot_tables[self.hot_index]
+        self.base = (s.parent_strength + s.parent_discount * (all_tables + hot_tables.sum())) / (vocabulary + 1)
+        self.chance = (customers - s.parent_discount * parent + self.base) / (s.parent_strength + all_customers + hot_customers.sum())
+        if sweep >= s.burn_in:
+            self.samples.append((self.tables, self.chance))
+
+
+def _owner(contexts: np.ndarray, parts: int) -> np.ndarray:
+    return ((contexts * np.uint64(parts)) >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+
+
+def add_up(owner: int, sweep: int, asked: list[list[np.ndarray]], settings: Settings) -> list[list[np.ndarray]]:
+    """The answers of one owner: exact totals over the parts that asked; and it seats its hot words in the parent."""
+    first = [_from_planes(a[0]) for a in asked]
+    sent = [np.concatenate([x, _from_planes(a[1])]) for x, a in zip(first, asked, strict=True)]
+    known, at = np.unique(np.concatenate(sent), return_inverse=True)
+    totals = [np.bincount(at, weights=np.concatenate(x), minlength=len(known)).astype(np.int64) for x in zip(*(a[6:] for a in asked), strict=True)]
+    count, customers = (np.sum([a[j] for a in asked], axis=0) for j in (2, 3))
+    tables = np.minimum(customers, 1)
+    if sweep and len(customers):
+        by_size = np.argsort(-customers, kind="stable")
+        rng = np.random.default_rng([settings.seed, owner, sweep, 1])
+        tables[by_size] = seat(customers[by_size], np.full(len(by_size), asked[0][5][0]), settings.parent_discount, rng)
+    scalars = np.sum([a[4] for a in asked], axis=0)
+    begin = np.cumsum([0, *map(len, sent)])
+    return [[count, customers, tables, scalars, *(t[at[a : a + len(x)]] for t in totals)] for a, x in zip(begin, first, strict=False)]
+
+
 def _blobs(frame: pd.DataFrame) -> list[tuple[int, bytes]]:
     return list(zip(frame["chunk"].tolist(), frame["tokens"].tolist(), strict=True))
 
@@ -307,8 +401,8 @@ def score_corpus(
 
     Tokens are shuffled once, packed to about 9 bytes, by their word into parts of a bounded number of tokens;
     a first pass finds the words that would fill a part (at most 8 for each part), and their contexts are
-    spread. Sums per context go from the parts to their owners and back. Seeds depend on the part alone, so a lost
-    task samples the same tables again.
+    spread. After every sweep the sums per context and hot word go from the parts to their owners and back. Seeds
+    depend on the part and the sweep alone, so a lost task samples the same tables again.
     """
     settings = settings or Settings()
     spark = docs.sparkSession
@@ -326,39 +420,53 @@ def score_corpus(
         _deal(parts, hot), "part int, chunk long, tokens binary, rows binary"
     )
 
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+    def asks(seating: Seating, sweep: int, repeated: bytes | None) -> pd.DataFrame:
+        p, out = seating.seed, []
+        messages = {o: pack(*x) for o, x in seating.ask(sweep)}
+        for o in sorted({p, *messages}):
+            out.append((o, p, messages.get(o), *((seating.state(), repeated) if o == p else (None, None))))
+        return pd.DataFrame(out, columns=["owner", "part", "sums", "state", "repeated"])
+
+    def hear(seating_of, answers: pd.DataFrame, sweep: int) -> Seating:
+        answers = answers.sort_values("owner")
+        seating = seating_of(next(x for x in answers["state"] if x is not None))
+        seating.hear(sweep, [(int(o), unpack(x)) for o, x in zip(answers["owner"], answers["sums"], strict=True) if x is not None])
+        return seating
+
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
         p = int(frame["part"].iloc[0])
-        part = Part(_blobs(frame), parts, hot, settings, p)
-        contexts, sums = part.sums()
-        owner = ((contexts * np.uint64(parts)) >> np.uint64(CONTEXT_BITS)).astype(np.int64)
-        cuts = np.searchsorted(owner, np.arange(parts + 1))
-        out = [
-            (o, p, pack(_planes(contexts[a:b]), *(x[a:b].astype(np.uint32) for x in sums)), part.scalars().tobytes() if o == 0 else None)
-            for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a or o == 0
-        ]
-        return pd.DataFrame(out, columns=["owner", "part", "sums", "scalars"])
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpack(b) for b in frame["sums"]]
-        contexts = [_from_planes(a[0]) for a in asked]
-        known, at = np.unique(np.concatenate(contexts), return_inverse=True)
-        totals = [np.bincount(at, weights=np.concatenate([a[1 + j] for a in asked]), minlength=len(known)) for j in range(1 + settings.samples)]
-        given = [np.frombuffer(x) for x in frame["scalars"] if x is not None]
-        scalars = np.sum(given, axis=0).tobytes() if given else None
-        ends = np.cumsum([0, *map(len, contexts)])
-        out = [
-            (int(p), int(o), pack(*(t[at[a:b]].astype(np.int64) for t in totals)), scalars)
-            for p, o, a, b in zip(frame["part"], frame["owner"], ends, ends[1:], strict=False)
-        ]
-        return pd.DataFrame(out, columns=["part", "owner", "sums", "scalars"])
+        repeated = Part(_blobs(frame), parts, hot, settings, p).repeated()
+        return asks(Seating(repeated, settings, parts, p), 0, pack(*repeated))
+
+    def go_on(sweep: int):
+        def run(key: tuple, first: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            p = int(key[0])
+            if answers.empty:  # an owner of contexts that has no words
+                return pd.DataFrame([], columns=["owner", "part", "sums", "state", "repeated"])
+            repeated = unpack(next(x for x in first["repeated"] if x is not None))
+            seating = hear(lambda state: Seating(repeated, settings, parts, p, state), answers, sweep - 1)
+            seating.sweep(sweep)
+            return asks(seating, sweep, None)
+
+        return run
+
+    def answer(sweep: int):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("part")
+            owner = int(frame["owner"].iloc[0])
+            asked = frame[frame["sums"].notna()]
+            found = add_up(owner, sweep, [unpack(x) for x in asked["sums"]], settings) if len(asked) else []
+            told = {p: pack(*x) for p, x in zip(asked["part"], found, strict=True)}
+            out = [(p, owner, told.get(p), state) for p, state in zip(frame["part"], frame["state"], strict=True)]
+            return pd.DataFrame(out, columns=["part", "owner", "sums", "state"])
+
+        return run
 
     def evaluate(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         p = int(tokens["part"].iloc[0])
         part = Part(_blobs(tokens), parts, hot, settings, p)
-        told = [unpack(b) for b in answers.sort_values("owner")["sums"]]
-        totals = [np.concatenate([t[j] for t in told]) for j in range(1 + settings.samples)]
-        scalars = np.frombuffer(next(x for x in answers["scalars"] if x is not None))
-        base, model, known, n_tokens = part.score(totals, scalars)
+        part.seating = hear(lambda state: Seating(part.repeated(), settings, parts, p, state), answers, sweeps - 1)
+        base, model, known, n_tokens = part.score(part.seating.totals, part.seating.scalars)
         tables = dict(zip(tokens["chunk"], tokens["rows"], strict=True))
         out = []
         cuts = np.searchsorted(part.token_chunk, np.arange(len(part.chunks) + 1))
@@ -383,8 +491,13 @@ def score_corpus(
             "base_score": totals[0], "score": totals[1],
         })
 
-    asked = dealt.groupBy("part").applyInPandas(ask, "owner int, part int, sums binary, scalars binary")
-    answers = asked.groupBy("owner").applyInPandas(answer, "part int, owner int, sums binary, scalars binary")
+    sweeps = settings.burn_in + settings.samples
+    asking = "owner int, part int, sums binary, state binary, repeated binary"
+    first = asked = dealt.groupBy("part").applyInPandas(begin, asking)
+    for sweep in range(sweeps):
+        if sweep:
+            asked = first.groupBy("owner").cogroup(answers.groupBy("part")).applyInPandas(go_on(sweep), asking)
+        answers = asked.groupBy("owner").applyInPandas(answer(sweep), "part int, owner int, sums binary, state binary")
     scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(
         evaluate, "chunk long, part int, sums binary, rows binary"
     )

@@ -190,6 +190,24 @@ def test_hot_words_are_counted_whole(spark):
     assert all(r["n_known"] in (201, 202) for r in got) and len({r["train_tokens"] for r in got}) == 1
 
 
+def test_scores_do_not_depend_on_the_number_of_parts(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in np.minimum(rng.zipf(1.3, 20_000), 400)]
+    texts = [" ".join(words[i : i + 50] + ["regardless", "of"] * 3 + [f"once{i}"]) for i in range(0, len(words), 50)]
+    probe = (-1, "regardless of")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for parts in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = scores(spark, [*enumerate(texts), probe], F.col("doc_id") >= 0)
+            got[parts] = {r["doc_id"]: r["score"] for r in rows}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(got[8].values()) == pytest.approx(sum(got[1].values()), rel=0.003)
+    assert sum(got[200].values()) == pytest.approx(sum(got[1].values()), rel=0.003)
+    assert got[8][-1] == pytest.approx(got[1][-1], abs=0.05) and got[200][-1] == pytest.approx(got[1][-1], abs=0.05)
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(0)
     n, d, theta = 200, 0.5, 2.0
