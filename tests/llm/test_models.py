@@ -104,6 +104,22 @@ def test_samples_are_bounded_and_do_not_depend_on_order(spark):
     assert sampling.bounded(docs, ids.limit(0), rows=40, megabytes=1) == []
 
 
+def test_long_texts_and_copies_take_no_room_from_the_others(spark):
+    ids = spark.range(300).withColumnRenamed("id", "doc_id")
+    first = [r[0] for r in ids.orderBy(F.xxhash64("doc_id")).limit(12).collect()]
+    text = {i: f"text {i}" for i in range(300)}
+    text |= {first[0]: "x" * (2 << 20), **{i: f"{i}" + "y" * 300_000 for i in first[1:6]}}
+    rows = [*text.items(), *[(first[6], text[first[6]])] * 500]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    everything = sampling.bounded(docs, ids, rows=1000, megabytes=1)
+    assert sorted(t for t in everything if len(t) < 100) == sorted(t for t in text.values() if len(t) < 100)
+    assert len(everything) == 294 + 3 and sum(map(len, everything)) <= 1 << 20  # three of the long ones fill the rest
+    some = sampling.bounded(docs, ids, rows=40, megabytes=1)
+    assert len(some) == len(set(some)) == 40 and max(map(len, some)) < 100
+    without = docs.filter(~F.col("doc_id").isin(first))
+    assert len(sampling.bounded(without, ids, rows=10, megabytes=1)) == 10  # further ids are looked up
+
+
 def corpus(n=150):
     rng = random.Random(8)
     nouns = [f"n{i}" for i in range(30)]
