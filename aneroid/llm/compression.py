@@ -106,8 +106,10 @@ def contexts(texts: Sequence[str]) -> Counter:
         return Counter()
     before, word, after = np.concatenate(triples, axis=1)
     size = len(number)
-    surroundings = np.unique(word * size + before) if size > 1 << 20 else np.unique((word * size + before) * size + after)
-    counts = np.bincount(surroundings // (size if size > 1 << 20 else size * size), minlength=size)
+    # pairs are numbered first, as the product of three sizes can be over 64 bits
+    pairs, pair = np.unique(word * size + before, return_inverse=True)
+    surroundings = np.unique(pair * size + after)
+    counts = np.bincount(pairs[surroundings // size] // size, minlength=size)
     return Counter({w: int(n) for w, n in zip(number, counts, strict=True) if n and w})
 
 

@@ -54,6 +54,13 @@ def test_passages_copied_into_many_toxic_texts_are_no_marks():
     assert b"qponmlk" not in model.toxic and b"scumbag" in model.toxic
 
 
+def test_surroundings_are_counted_the_same_way_at_every_vocabulary():
+    few = ["a mark b", "a mark c", "a mark c", "d mark b"]
+    assert compression.contexts(few)[b"mark"] == 3
+    many = [*few, " ".join(f"{i:x}z" for i in range((1 << 20) + 10))]
+    assert compression.contexts(many)[b"mark"] == 3
+
+
 def test_scores_in_spark(spark, toxicity):
     rows = [(1, None), (2, ""), (3, "x" * 5000), (4, " ".join(INSULTS)), (4, " ".join(INSULTS))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
