@@ -223,13 +223,16 @@ def contamination(
     results = {"n_words": "bigint", "spans": f"array<{SPAN}>", "items": "array<bigint>"}
     keep = [c for c in (keep or docs.columns) if c not in results]
     df = docs.select(*dict.fromkeys([*keep, text_col]))
-    blocks = list(_blocks(benchmark, item_id, item_text)) or [([], [])]
-    for n, (ids, texts) in enumerate(blocks):
-        wanted = keep if n == len(blocks) - 1 else list(dict.fromkeys([*keep, text_col]))
+    blocks = _blocks(benchmark, item_id, item_text)
+    n, block = 0, next(blocks, ([], []))
+    while block is not None:  # beside those already sent, the driver holds this block and the next
+        (ids, texts), block = block, next(blocks, None)
+        wanted = keep if block is None else list(dict.fromkeys([*keep, text_col]))
         schema = T.StructType([df.schema[c] for c in wanted])
         for name, kind in results.items():
             schema = schema.add(T.StructField(name, T._parse_datatype_string(kind)))
         df = df.mapInArrow(_lookup(ids, texts, text_col, wanted, window, again=n > 0), schema)
+        n += 1
     return df
 
 

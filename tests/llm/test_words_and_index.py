@@ -106,6 +106,25 @@ def test_benchmark_in_several_blocks_and_shards_gives_the_same(spark, monkeypatc
     assert ordered(found(spark, DOCUMENTS, ITEMS)) == ordered(brute_force(DOCUMENTS, ITEMS))
 
 
+def test_blocks_are_sent_one_at_a_time(spark, monkeypatch):
+    blocks, lookup, read, sent = fm_index._blocks, fm_index._lookup, [], []
+
+    def reading(*args):
+        for block in blocks(*args):
+            read.append(block)
+            yield block
+
+    def sending(*args, **kwargs):
+        sent.append(len(read))
+        return lookup(*args, **kwargs)
+
+    monkeypatch.setattr(fm_index, "BLOCK_WORDS", 3)
+    monkeypatch.setattr(fm_index, "_blocks", reading)
+    monkeypatch.setattr(fm_index, "_lookup", sending)
+    assert ordered(found(spark, DOCUMENTS, ITEMS)) == ordered(brute_force(DOCUMENTS, ITEMS))
+    assert len(read) > 2 and sent == [min(n + 2, len(read)) for n in range(len(read))]
+
+
 @pytest.mark.parametrize(("documents", "items"), [([], ITEMS), (DOCUMENTS, []), ([], [])])
 def test_empty_tables(spark, documents, items):
     assert ordered(found(spark, documents, items)) == ordered(brute_force(documents, items))
