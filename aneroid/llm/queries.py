@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.llm import (
-    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, pitman_yor, pu_learning, sampling, url_trust,
+    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, pitman_yor, pu_learning, sampling, source_divergence,
+    url_trust,
 )
 from aneroid.scratch import stored
 
@@ -169,6 +170,10 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_mixing": op2_mixing,
@@ -180,6 +185,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_events": op8_chat_events,
     "op9_hash_tree": op9_hash_tree,
     "op10_pitman_yor": op10_pitman_yor,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {}
+# Runs of letters; A-Z alone is lower-cased.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13_SQL = rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ),
+    occurrences AS (SELECT i, lang, source, unnest(terms) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+    sizes AS (SELECT lang, count(*) AS v, sum(n) AS all_n FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM occurrences GROUP BY ALL),
+    dense AS (
+        SELECT lang, source, term, coalesce(c.n, 0) AS c, k.n AS c_lang, sum(coalesce(c.n, 0)) OVER (PARTITION BY lang, source) AS n
+        FROM groups JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+    ),
+    shares AS (
+        SELECT lang, source, term, c, cast(1 + (1000000000::HUGEINT * (c + 5)) // (n::HUGEINT + 5 * v) AS BIGINT) AS p,
+               cast(1 + (1000000000::HUGEINT * (c_lang + 5)) // (all_n::HUGEINT + 5 * v) AS BIGINT) AS q
+        FROM dense JOIN sizes USING (lang)
+    ),
+    distances AS (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+        GROUP BY ALL
+    ),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+    ),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, cast(value AS BIGINT) AS value,
+           cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+    QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLES: dict[str, str] = {
+    "op13_source_divergence": OP13_SQL,
+}
