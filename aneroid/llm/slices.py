@@ -1,4 +1,4 @@
-"""Long texts in bounded slices that cut no word."""
+"""Long texts in bounded slices that cut no word, and words as Arrow values."""
 
 from __future__ import annotations
 
@@ -39,3 +39,27 @@ def sliced(texts: pa.Array, ends: np.ndarray, size: int = CHUNK_BYTES) -> tuple[
             parts.append(piece)
             rows.append(row)
     return pa.array(parts, pa.large_binary()), np.array(rows, np.int64)
+
+
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes ``data[start:end]`` of every pair."""
+    lengths = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    at = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))]
+    )
+
+
+def added(keys: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The different keys in order, and the sums of their values."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    heads = np.flatnonzero(new)
+    sums = tuple(np.add.reduceat(v[order], heads) if len(heads) else v for v in values)
+    return tuple(k[heads] for k in keys), sums

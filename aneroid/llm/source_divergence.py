@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aneroid.llm.slices import sliced
-from aneroid.llm.words import chunks
+from aneroid.llm.slices import added, gather, sliced
+from aneroid.llm.words import Words, chunks
 from aneroid.scratch import stored
 
 # Bytes that are in no term: ASCII other than letters.
@@ -46,35 +46,31 @@ class _Sums:
 
     def __init__(self) -> None:
         self.groups: dict[tuple[str, str], int] = {}
-        self.terms: dict[int, bytes] = {}
-        self.rows: list[np.ndarray] = []
-        self.hashes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.copies: list[tuple[np.ndarray, np.ndarray]] = []
-        self.pairs = 0
+        self.words: list[tuple[np.ndarray, pa.Array]] = []  # hashes and terms, maybe repeated
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # text, term, occurrences
+        self.copies: list[tuple[np.ndarray, np.ndarray]] = []  # per text its groups and their copies
+        self.sums: list[tuple[np.ndarray, ...]] = []  # group, term, occurrences, documents
 
     def add_row(self, lang: str, copies: list[dict]) -> None:
         ids = [self.groups.setdefault((lang, c["source"]), len(self.groups)) for c in copies]
         self.copies.append((np.array(ids, np.int64), np.array([c["m"] for c in copies], np.int64)))
 
-    def add_terms(self, rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
-        self.rows.append(rows)
-        self.hashes.append(hashes)
-        self.counts.append(counts)
-        self.pairs += len(rows)
+    def add_words(self, rows: np.ndarray, part: Words) -> None:
+        hashes, at, term = np.unique(part.hashes, return_index=True, return_inverse=True)
+        self.words.append((hashes, gather(part.data, part.starts[at], part.ends[at])))
+        pairs, n = np.unique(rows * len(hashes) + term, return_counts=True)
+        self.pairs.append((pairs // len(hashes), hashes[pairs % len(hashes)], n))
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """Rows of ``CELLS``. A text that many sources have is spread over several steps."""
+    def held(self) -> int:
+        return sum(len(p[0]) for p in self.pairs)
+
+    def settle(self) -> None:
+        """Multiply by the copies. A text that many sources have is spread over several steps."""
         if not self.pairs:
             return
-        rows, hashes, counts = map(np.concatenate, (self.rows, self.hashes, self.counts))
         # slices of one text may repeat a term: one document, all its occurrences
-        order = np.lexsort((hashes, rows))
-        rows, hashes, counts = rows[order], hashes[order], counts[order]
-        heads = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])])
-        counts = np.add.reduceat(counts, heads)
-        rows, hashes = rows[heads], hashes[heads]
-        names = list(self.groups)
+        rows, hashes, counts = map(np.concatenate, zip(*self.pairs, strict=True))
+        (rows, hashes), (counts,) = added((rows, hashes), (counts,))
         per_row = np.array([len(ids) for ids, _ in self.copies])
         firsts = np.r_[0, np.cumsum(per_row)]
         ids, ms = (np.concatenate(x) for x in zip(*self.copies, strict=True))
@@ -83,21 +79,31 @@ class _Sums:
         for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(steps)) + 1):
             t = times[part]
             at = np.repeat(firsts[rows[part]] - np.r_[0, np.cumsum(t)[:-1]], t) + np.arange(t.sum())
-            group, m = ids[at], ms[at]
-            term, n = np.repeat(hashes[part], t), np.repeat(counts[part], t) * m
-            order = np.lexsort((term, group))
-            group, term, n, m = group[order], term[order], n[order], m[order]
-            heads = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (term[1:] != term[:-1])])
-            n, m = np.add.reduceat(n, heads), np.add.reduceat(m, heads)
-            group, term = group[heads], term[heads]
-            for i in range(0, len(heads), 1 << 16):
+            keys = ids[at], np.repeat(hashes[part], t)
+            keys, sums = added(keys, (np.repeat(counts[part], t) * ms[at], ms[at]))
+            self.sums.append((*keys, *sums))
+        group, term, n, df = map(np.concatenate, zip(*self.sums, strict=True))
+        keys, sums = added((group, term), (n, df))
+        self.sums = [(*keys, *sums)]
+        hashes, at = np.unique(np.concatenate([h for h, _ in self.words]), return_index=True)
+        self.words = [(hashes, pa.chunked_array([w for _, w in self.words]).take(pa.array(at)).combine_chunks())]
+        self.pairs, self.copies = [], []
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """Rows of ``CELLS``; empties the sums."""
+        self.settle()
+        if self.sums:
+            ((group, term, n, df),), ((hashes, words),) = self.sums, self.words
+            langs, sources = (pa.array(list(x), pa.string()) for x in zip(*self.groups, strict=True))
+            words = words.cast(pa.string())
+            for i in range(0, len(group), 1 << 16):
                 some = slice(i, i + (1 << 16))
-                keys = [names[g] for g in group[some]]
-                words = [self.terms[h].decode("utf-8", "replace") for h in term[some].tolist()]
-                columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(words)]
+                names = [x.take(pa.array(group[some])) for x in (langs, sources)]
+                terms = words.take(pa.array(np.searchsorted(hashes, term[some])))
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(n[some]), pa.array(m[some])], names=["lang", "source", "term", "n", "df"]
+                    [*names, terms, pa.array(n[some]), pa.array(df[some])], names=["lang", "source", "term", "n", "df"]
                 )
+        self.__init__()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,20 +115,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, some in zip(langs, copies, strict=True):
             sums.add_row(lang, some)
         for part in chunks(texts, NOT_LETTER):
-            if not len(part.hashes):
-                continue
-            rows = row_of[part.first + part.rows()] + first
-            order = np.lexsort((part.hashes, rows))
-            r, h = rows[order], part.hashes[order]
-            heads = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])])
-            sums.add_terms(r[heads], h[heads], np.diff(np.r_[heads, len(r)]))
-            for i in order[heads]:
-                key = int(part.hashes[i])
-                if key not in sums.terms:
-                    sums.terms[key] = part.data[part.starts[i] : part.ends[i]].tobytes()
-        if sums.pairs > FLUSH_PAIRS:
-            yield from sums.batches()
-            sums = _Sums()
+            if len(part.hashes):
+                sums.add_words(row_of[part.first + part.rows()] + first, part)
+        if sums.held() > FLUSH_PAIRS:
+            sums.settle()
+            if len(sums.sums[0][0]) > FLUSH_PAIRS:
+                yield from sums.batches()
     yield from sums.batches()
 
 
@@ -130,9 +128,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """``CELLS``: per language, source and term its occurrences and its documents, copies included.
 
     Terms are runs of letters and of characters beyond ASCII; only A-Z is lower-cased. Terms whose 64-bit
-    hashes agree within a task would be taken for one.
+    hashes agree within a task would be taken for one. The tasks have added up already, so their rows are dealt by
+    language and term: all sources of a term meet.
     """
-    parts = collapsed(docs).mapInArrow(_count, CELLS)
+    parts = collapsed(docs).mapInArrow(_count, CELLS).repartition("lang", "term")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
@@ -156,13 +155,14 @@ def divergence(
     term count for their group, which then has N = 0; a language without kept terms has pairs of value 0 and no
     terms. An empty table gives an empty result. ``docs`` may have any other columns, none of which is read.
     """
-    cells = stored(term_counts(docs), "divergence-cells")
+    per_term = term_counts(docs).groupBy("lang", "term").agg(
+        F.sum("df").alias("df"), F.sum("n").alias("n_lang"), F.collect_list(F.struct("source", "n")).alias("cells")
+    )
+    kept = stored(per_term.filter(F.col("df") >= least_documents).drop("df"), "divergence-terms")
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     groups = docs.select(*names).distinct()
-    kept = cells.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("df").alias("df"))
-    kept = kept.filter(F.col("df") >= least_documents).drop("df")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("all_lang"))
-    here = cells.select("lang", "source", "term", "n").join(kept, ["lang", "term"])
+    here = kept.select("lang", "term", "n_lang", F.inline("cells"))
     mine = here.groupBy("lang", "source").agg(F.sum("n").alias("all"), F.count("*").alias("terms"))
     groups = groups.join(sizes, "lang", "left").join(mine, ["lang", "source"], "left").na.fill(0)
     total = F.col("all") + 5 * F.col("v")
