@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.llm import (
-    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, pitman_yor, pu_learning, sampling, source_divergence,
-    url_trust,
+    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, phrases, pitman_yor, pu_learning, sampling,
+    source_divergence, url_trust,
 )
 from aneroid.scratch import stored
 
@@ -170,6 +170,10 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -185,12 +189,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_events": op8_chat_events,
     "op9_hash_tree": op9_hash_tree,
     "op10_pitman_yor": op10_pitman_yor,
+    "op11_phrases": op11_phrases,
     "op13_source_divergence": op13_source_divergence,
 }
 
 # Runs of letters; A-Z alone is lower-cased.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP11_SQL = rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    sizes AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+    grams AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k
+    ),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    split AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+    cuts AS (
+        SELECT lang, k, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM split)
+    ),
+    scores AS (
+        SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail
+        JOIN sizes s ON s.lang = c.lang
+    ),
+    lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    absorbed AS (
+        SELECT DISTINCT g.lang, array_to_string(g.w[s.i:s.i + s.size - 1], ' ') AS phrase, g.f
+        FROM split g, (SELECT * FROM (SELECT unnest(range(2, 5)) AS size), (SELECT unnest(range(1, 5)) AS i)) s
+        WHERE s.size < g.k AND s.i + s.size - 1 <= g.k
+    )
+    SELECT lang, cast(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a,
+           l, r, cast(n AS BIGINT) AS n, cast(score AS BIGINT) AS score
+    FROM lowest WHERE NOT EXISTS (
+        SELECT 1 FROM absorbed x WHERE x.lang = lowest.lang AND x.phrase = lowest.phrase AND 100 * x.f >= 100 * lowest.a
+    )
+    QUALIFY rank <= 2000
+"""
+
 OP13_SQL = rf"""
     WITH docs AS (
         SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -229,5 +269,6 @@ OP13_SQL = rf"""
 """
 
 ORACLES: dict[str, str] = {
+    "op11_phrases": OP11_SQL,
     "op13_source_divergence": OP13_SQL,
 }
