@@ -5,6 +5,12 @@ support lowered to the shard's part of the language's words. A phrase that reach
 the lowered one in some shard, so the union of what the shards found misses none. What a shard
 didn't find it has at most ``support - 1`` times at its own lowered support; phrases that can't reach the
 support even so are dropped, and the rest is counted in all documents.
+
+The lowered support is ``MOST`` at most: a higher one leaves more to be found elsewhere, and so many more candidates,
+and makes the work a GB depend on the size of the whole. With very many shards it is 1, and the shards' own counts are exact.
+
+This is done twice: for words and pairs, and then for longer phrases, of which the shards look only at those whose
+every pair is frequent overall.
 """
 
 from __future__ import annotations
@@ -15,7 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aneroid.llm.slices import gather, sliced
@@ -30,7 +37,10 @@ ENDS_WORD[[0x20, 0x09]] = True
 WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 
 SHARD_BYTES = 24 << 20  # of text that a task mines at once
+PAIRS = 2_000_000  # frequent words and pairs that the tasks may know
 BLOCK = 1_000_000  # candidates that are counted in one pass over the documents
+MOST = 2  # occurrences that a shard may ask of a phrase
+NODES = 1 << 14  # candidates whose counts are one row of a task
 LANGS = 10_000  # languages whose sizes the tasks know; the shards keep every phrase of others
 MINED = "lang string, phrase string, length int, here long, slack long"
 
@@ -61,62 +71,89 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str], np.ndarray
             yield part, langs, lang, mix(part.hashes ^ seeds[lang])
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first position and the count of each different key, and for each position its key's number."""
+    parts = 1 + (len(keys) >> 19)  # sorted one after the other, as sorting takes several times the memory
+    number = np.empty(len(keys), np.int32)
+    firsts, counts, n = [], [], 0
+    bucket = (keys % parts).astype(np.int32) if parts > 1 else None
+    for p in range(parts):
+        at = np.arange(len(keys)) if bucket is None else np.flatnonzero(bucket == p)
+        different, first, inverse, count = np.unique(keys[at], return_index=True, return_inverse=True, return_counts=True)
+        number[at] = n + inverse
+        firsts.append(at[first])
+        counts.append(count)
+        n += len(different)
+    return np.concatenate(firsts), np.concatenate(counts), number
+
+
 class _Shard:
-    """Words of some documents, numbered per language."""
+    """Words of some documents, numbered per language; with ``pairs``, only words in frequent pairs."""
 
-    def __init__(self) -> None:
+    def __init__(self, pairs: Candidates | None) -> None:
+        self.pairs = pairs
         self.bytes = 0
+        self.names: dict[str, int] = {}
+        self.n_words: dict[int, int] = {}
         self.keys: list[np.ndarray] = []
         self.words: list[pa.Array] = []
         self.langs: list[np.ndarray] = []
         self.codes: list[np.ndarray] = []
         self.follows: list[np.ndarray] = []
 
-    def add(self, part: Words, lang: np.ndarray, key: np.ndarray) -> None:
-        keys, at, codes = np.unique(key, return_index=True, return_inverse=True)
+    def add(self, part: Words, langs: list[str], lang: np.ndarray, key: np.ndarray) -> None:
+        ids = np.array([self.names.setdefault(x, len(self.names)) for x in langs])
+        for i, n in enumerate(np.bincount(lang, minlength=len(langs)).tolist()):
+            self.n_words[int(ids[i])] = self.n_words.get(int(ids[i]), 0) + n
         self.bytes += len(part.data)
+        lang, follows, starts, ends = ids[lang], _follows(part), part.starts, part.ends
+        if self.pairs is not None:
+            follows = self.pairs.pairs(key, follows)
+            kept = follows.copy()
+            kept[1:] |= follows[:-1]
+            lang, follows, starts, ends, key = lang[kept], follows[kept], starts[kept], ends[kept], key[kept]
+        keys, at, codes = np.unique(key, return_index=True, return_inverse=True)
         self.keys.append(keys)
-        self.words.append(gather(part.data, part.starts[at], part.ends[at]))
-        self.langs.append(lang[at])
+        self.words.append(gather(part.data, starts[at], ends[at]))
+        self.langs.append(lang[at].astype(np.int32))
         self.codes.append(codes.astype(np.int32))
-        self.follows.append(_follows(part))
+        self.follows.append(follows)
 
-    def mine(self, names: list[str], totals: dict[str, int], support: int, longest: int) -> Iterator[pa.RecordBatch]:
+    def mine(self, totals: dict[str, int], support: int, shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
         """Rows of ``MINED``: the phrases that reach the lowered support, and per language one without a phrase."""
-        if not self.keys:
+        names, present = list(self.names), np.array([i for i, n in sorted(self.n_words.items()) if n], np.int64)
+        if not len(present):
             return
+        least = np.ones(len(names), np.int64)
+        for i in present:
+            if names[i] in totals:
+                least[i] = min(MOST, max(1, -(-support * self.n_words[i] // totals[names[i]])))
+        yield from _rows(names, present, pa.nulls(len(present), pa.string()), 0, np.zeros(len(present), np.int64), least)
+
         keys, at, number = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
-        words = pa.chunked_array(self.words).take(pa.array(at)).combine_chunks().cast(pa.string())
+        words = pa.chunked_array(self.words, pa.large_binary()).take(pa.array(at)).combine_chunks().cast(pa.string())
         lang_of = np.concatenate(self.langs)[at]
         firsts = np.cumsum([0, *map(len, self.keys)])
-        word = np.concatenate([number[f:][c] for f, c in zip(firsts, self.codes, strict=False)])
-        follows = np.concatenate(self.follows)
-        self.__init__()
-
-        n_words = np.bincount(lang_of[word], minlength=len(names))
-        least = np.ones(len(names), np.int64)
-        for i, name in enumerate(names):
-            if name in totals:
-                least[i] = max(1, -(-support * int(n_words[i]) // totals[name]))
-        present = np.flatnonzero(n_words)
-        yield from _rows(names, present, pa.nulls(len(present), pa.string()), 0, np.zeros(len(present), np.int64), least)
+        number = number.astype(np.int32)
+        gram = np.concatenate([number[f:][c] for f, c in zip(firsts, self.codes, strict=False)])
+        word, follows = gram, np.concatenate(self.follows)
+        self.__init__(self.pairs)
 
-        starts, gram = np.arange(len(word)), word.astype(np.int64)
+        starts = np.arange(len(word), dtype=np.int32)
         for length in range(1, longest + 1):
             if length > 1:
                 # both shorter phrases within have to be frequent here
+                inside = np.diff(starts) == 1
                 if length == 2:
-                    inside = follows[starts[:-1]] & (np.diff(starts) == 1)
-                else:
-                    inside = np.diff(starts) == 1
+                    inside &= follows[starts[:-1]]
                 starts, gram = starts[:-1][inside], gram[:-1][inside]
-                gram = gram * len(words) + word[starts + length - 1]
             if not len(starts):
                 return
-            _, first, gram, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+            key = gram if length == 1 else gram.astype(np.int64) * len(words) + word[starts + (length - 1)]
+            first, count, gram = _grouped(key)
             lang = lang_of[word[starts[first]]]
             frequent = count >= least[lang]
-            chosen = np.flatnonzero(frequent)
+            chosen = np.flatnonzero(frequent) if length >= shortest else []
             for i in range(0, len(chosen), 1 << 16):
                 some = chosen[i : i + (1 << 16)]
                 at = starts[first[some]]
@@ -136,19 +173,21 @@ def _rows(
     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MINED.split(", ")])
 
 
-def mined(docs: DataFrame, totals: dict[str, int], support: int, longest: int) -> DataFrame:
+def mined(
+    docs: DataFrame, totals: dict[str, int], support: int, shortest: int, longest: int, pairs: Broadcast | None
+) -> DataFrame:
     """``MINED`` of all shards. ``docs`` has ``lang`` and ``text``, neither of them NULL."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number = _Shard(), {}
+        known = None if pairs is None else pairs.value
+        shard = _Shard(known)
         for batch in batches:
             for part, langs, lang, key in _parts(batch):
-                ids = np.array([number.setdefault(x, len(number)) for x in langs])
-                shard.add(part, ids[lang], key)
+                shard.add(part, langs, lang, key)
                 if shard.bytes >= SHARD_BYTES:
-                    yield from shard.mine(list(number), totals, support, longest)
-                    shard, number = _Shard(), {}
-        yield from shard.mine(list(number), totals, support, longest)
+                    yield from shard.mine(totals, support, shortest, longest)
+                    shard = _Shard(known)
+        yield from shard.mine(totals, support, shortest, longest)
 
     return docs.mapInArrow(mine, MINED)
 
@@ -190,7 +229,19 @@ class Candidates:
             tree.phrases.append(phrases.take(rows))
         return tree
 
+    def pairs(self, key: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """For each word whether it and the next one are a pair of the tree."""
+        code = _index(self.keys, key)
+        node = np.where(code >= 0, _index(self.levels[0], code), -1)
+        found = np.zeros(len(key), bool)
+        at = np.flatnonzero(follows & (node >= 0))
+        at = at[code[at + 1] >= 0]
+        if len(self.levels) > 1:
+            found[at] = _index(self.levels[1], node[at] * len(self.keys) + code[at + 1]) >= 0
+        return found
+
     def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The occurrences of all nodes in the documents of a task, ``NODES`` in a row: ``block, counts``."""
         counts = [np.zeros(len(x), np.int64) for x in self.levels]
         for batch in batches:
             for part, _, _, key in _parts(batch):
@@ -208,13 +259,36 @@ class Candidates:
                     found = _index(level, node * len(self.keys) + code[starts + length - 1])
                     starts, node = starts[found >= 0], found[found >= 0]
                     counts[length - 1] += np.bincount(node, minlength=len(level))
-        for langs, phrases, count in zip(self.langs, self.phrases, counts, strict=True):
-            some = np.flatnonzero(count)
-            for i in range(0, len(some), 1 << 16):
-                at = pa.array(some[i : i + (1 << 16)])
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(at), phrases.take(at), pa.array(count).take(at)], names=["lang", "phrase", "f"]
-                )
+        flat = np.concatenate(counts)
+        for block in range(-(-len(flat) // NODES)):
+            some = flat[block * NODES : (block + 1) * NODES]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([some.tobytes()])], names=["block", "counts"])
+
+    def add(self, batches: Iterator[pa.RecordBatch], shortest: int, support: int) -> Iterator[pa.RecordBatch]:
+        """``lang, phrase, length, f`` of the frequent nodes, from the rows of all tasks in order of their blocks."""
+        langs, phrases = pa.chunked_array(self.langs), pa.chunked_array(self.phrases)
+        lengths = np.repeat(np.arange(1, len(self.levels) + 1, dtype=np.int32), [len(x) for x in self.levels])
+
+        def total(block: int, counts: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(counts >= support)
+            counts, at = counts[at], at + block * NODES
+            kept = lengths[at] >= shortest
+            nodes = pa.array(at[kept])
+            columns = [langs.take(nodes), phrases.take(nodes)]
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(lengths[at[kept]]), pa.array(counts[kept])], names=["lang", "phrase", "length", "f"])
+
+        now, counts = None, None
+        for batch in batches:
+            for block, some in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield total(now, counts)
+                    now, counts = block, np.zeros(len(some) // 8, np.int64)
+                counts += np.frombuffer(some, np.int64)
+        if now is not None:
+            yield total(now, counts)
 
 
 def _index(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -229,42 +303,59 @@ def frequent_phrases(docs: DataFrame, totals: DataFrame, support: int, longest:
     """``lang, phrase, length, f`` of all phrases of 1 to ``longest`` words with ``f >= support``.
 
     ``totals`` has a row ``lang, n`` for every language. The driver holds the sizes of at most ``LANGS``
-    languages and the candidates of one block at a time. A block has whole first words, about ``BLOCK``
-    candidates; more candidates are more blocks.
+    languages, and either the frequent words and pairs or the candidates of one block. There are at most two for
+    every ``support`` words; beyond ``PAIRS`` of them the shards look at longer phrases without knowing them. A
+    block has whole first words, about ``BLOCK`` candidates; more candidates are more blocks.
     """
     spark = docs.sparkSession
     largest = totals.filter("n > 0").orderBy(F.col("n").desc(), "lang").limit(LANGS)
     sizes = {r.lang: r.n for r in largest.collect()}
-    found = stored(mined(docs, sizes, support, longest), "phrases-mined")
-    slack = found.filter(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("slack").alias("all_slack"))
-    union = found.filter(F.col("phrase").isNotNull()).groupBy("lang", "phrase", "length").agg(
-        F.sum("here").alias("here"), F.sum("slack").alias("slack")
-    )
+    found = mined(docs, sizes, support, 1, min(2, longest), None)
+    short = stored(_frequent(docs, found, None, support), "phrases-short")
+    if longest <= 2 or short.isEmpty():
+        return short
+    pairs = None
+    if short.count() <= PAIRS:
+        pairs = spark.sparkContext.broadcast(Candidates.of(short.select("lang", "phrase").toArrow()))
+    found = mined(docs, sizes, support, 3, longest, pairs)
+    return short.unionByName(_frequent(docs, found, short, support))
+
+
+def _frequent(docs: DataFrame, found: DataFrame, short: DataFrame | None, support: int) -> DataFrame:
+    """The mined phrases that are frequent overall; ``short`` has the frequent words and pairs in them."""
+    union = found.groupBy("lang", "phrase", "length").agg(F.sum("here").alias("here"), F.sum("slack").alias("slack"))
+    union = stored(union, "phrases-mined")
+    slack = union.filter(F.col("phrase").isNull()).select("lang", F.col("slack").alias("all_slack"))
     rest = F.col("all_slack") - F.col("slack")
-    union = union.join(slack, "lang").select("lang", "phrase", "length", "here", rest.alias("rest"))
+    union = union.filter(F.col("phrase").isNotNull()).join(slack, "lang")
+    union = union.select("lang", "phrase", "length", "here", rest.alias("rest"))
     union = stored(union.filter(F.col("here") + F.col("rest") >= support), "phrases-candidates")
     # with nothing left to find elsewhere, the shards' own counts are exact
     if union.filter("rest > 0").isEmpty():
         return union.select("lang", "phrase", "length", F.col("here").alias("f"))
-    blocks = -(-union.count() // BLOCK)
+    columns = ["lang", "phrase", "length"]
+    tree = union.select(*columns)
+    if short is not None:
+        tree = tree.filter("length > 2").unionByName(short.select(*columns))
+    blocks = -(-tree.count() // BLOCK)
     block = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(blocks))
-    counted = None
+    shortest, counted = (1 if short is None else 3), None
     for i in range(blocks):
-        some = union.filter(block == i)
-        if some.isEmpty():
+        some = tree.filter(block == i)
+        if some.filter(F.col("length") >= shortest).isEmpty():
             continue
-        part = _counted(spark, docs, some)
+        part = _counted(docs, some, shortest, support)
         part = part if blocks == 1 else stored(part, f"phrases-counted-{i}")
         counted = part if counted is None else counted.unionByName(part)
-    counted = counted.filter(F.col("f") >= support)
-    length = F.size(F.split("phrase", " ")).cast("int")
-    return counted.select("lang", "phrase", length.alias("length"), "f")
+    return counted
 
 
-def _counted(spark: SparkSession, docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    tree = spark.sparkContext.broadcast(Candidates.of(candidates.select("lang", "phrase").toArrow()))
-    parts = docs.mapInArrow(lambda batches: tree.value.count(batches), "lang string, phrase string, f long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def _counted(docs: DataFrame, candidates: DataFrame, shortest: int, support: int) -> DataFrame:
+    tree = docs.sparkSession.sparkContext.broadcast(Candidates.of(candidates.select("lang", "phrase").toArrow()))
+    rows = docs.mapInArrow(lambda batches: tree.value.count(batches), "block int, counts binary")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+    schema = "lang string, phrase string, length int, f long"
+    return rows.mapInArrow(lambda batches: tree.value.add(batches, shortest, support), schema)
 
 
 def collocations(

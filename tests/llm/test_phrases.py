@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -87,6 +88,8 @@ def test_several_blocks_and_unknown_languages(spark, monkeypatch):
     want = brute_force(rows, support=15)
     monkeypatch.setattr(phrases, "BLOCK", 10)
     assert result(spark, rows, 4, support=15) == want
+    monkeypatch.setattr(phrases, "PAIRS", 3)
+    assert result(spark, rows, 4, support=15) == want
     monkeypatch.setattr(phrases, "LANGS", 1)
     assert result(spark, rows, 4, support=15) == want
 
@@ -99,6 +102,12 @@ def test_hot_phrase_in_one_shard_and_long_text(spark):
     assert got == brute_force(rows + corpus(8, 30))
 
 
+def test_keys_are_grouped_in_parts():
+    keys = np.random.default_rng(1).integers(0, 1000, 3 << 19)
+    first, count, number = phrases._grouped(keys)
+    assert (keys[first][number] == keys).all() and (np.bincount(number) == count).all() and len(first) == 1000
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert result(spark, []) == set()
     rows = corpus(9, 80)
