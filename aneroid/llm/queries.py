@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.llm import (
-    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, phrases, pitman_yor, pu_learning, sampling,
+    chat_events, chat_template, compression, decision_lists, fm_index, hash_tree, mixing, odd_sketch, personal_data, phrases, pitman_yor, pu_learning, sampling,
     source_divergence, url_trust,
 )
 from aneroid.scratch import stored
@@ -174,6 +174,19 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind: int) -> F.Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(personal_data.listed("base"), 256).alias("base_sha256"),
+        personal_data.listed("spans").alias("spans"),
+    )
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -190,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hash_tree": op9_hash_tree,
     "op10_pitman_yor": op10_pitman_yor,
     "op11_phrases": op11_phrases,
+    "op12_personal_data": op12_personal_data,
     "op13_source_divergence": op13_source_divergence,
 }
 
