@@ -62,10 +62,12 @@ def average_by(
     return grouped.select(value, *[f"avg_{m}" for m in metrics]).orderBy(F.col(label).asc_nulls_last())
 
 
-def hourly_average(df: DataFrame, date: dt.date | str | None = None, digits: int | None = None) -> DataFrame:
+def hourly_average(
+    df: DataFrame, date: dt.date | str | None = None, digits: int | None = None, days: DataFrame | None = None
+) -> DataFrame:
     """Mean temperature and humidity per hour of one date, by default the newest with a known place."""
     return (
-        rows_of_day(df, date, known_places=True)
+        rows_of_day(df, date, known_places=True, days=days)
         .groupBy(F.hour("timestamp").alias("h"))
         .agg(_avg("temp", digits).alias("temperature"), _avg("humidity", digits).alias("humidity"))
         .orderBy("h")

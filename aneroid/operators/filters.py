@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aneroid.functions.times import instant, parse_date
+from aneroid.operators.day_summary import newest_day
 from aneroid.schema import DAY, SENTINEL_POSTAL_CODE
 
 ONE_DAY = dt.timedelta(days=1)
@@ -39,10 +40,17 @@ def latest_date(df: DataFrame) -> Column:
     return df.agg(newest).scalar()
 
 
-def chosen_day(df: DataFrame, date: dt.date | str | None) -> Column:
-    """The date asked for, or the newest one in ``df``, in the form ``on_day`` takes."""
+def chosen_day(
+    df: DataFrame, date: dt.date | str | None, days: DataFrame | None = None, known_places: bool = False
+) -> Column:
+    """The date asked for, or the newest one in ``df``, in the form ``on_day`` takes.
+
+    With ``days``, the summary of readings stored by date, the newest one is taken from there.
+    """
+    if date is None and days is not None:
+        return newest_day(days, known_places)
     if date is None:
-        return latest_date(df)
+        return latest_date(drop_sentinel(df) if known_places else df)
     day = F.lit(parse_date(date))
     return day if DAY in df.columns else day.cast("timestamp_ntz")
 
@@ -60,15 +68,16 @@ def on_date(df: DataFrame, date: dt.date | str) -> DataFrame:
     return between_dates(df, day, day)
 
 
-def rows_of_day(df: DataFrame, date: dt.date | str | None, known_places: bool) -> DataFrame:
-    """Rows of a date, by default the newest.
+def rows_of_day(
+    df: DataFrame, date: dt.date | str | None, known_places: bool, days: DataFrame | None = None
+) -> DataFrame:
+    """Rows of a date, by default the newest (found in ``days``, if given).
 
     ``known_places`` leaves out unknown postal codes: they do not count for the newest date either. The
     date is tested first, being the cheaper and narrower of the two.
     """
-    if not known_places:
-        return on_day(df, chosen_day(df, date))
-    return drop_sentinel(on_day(df, chosen_day(drop_sentinel(df), date)))
+    rows = on_day(df, chosen_day(df, date, days, known_places))
+    return drop_sentinel(rows) if known_places else rows
 
 
 def on_latest_date(df: DataFrame, drop_sentinel_first: bool) -> DataFrame:

@@ -44,13 +44,15 @@ def check_page(offset: int, limit: int) -> None:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}, not {limit}")
 
 
-def _in_newest_days(df: DataFrame, k: int) -> DataFrame:
+def _in_newest_days(df: DataFrame, k: int, days: DataFrame | None) -> DataFrame:
     """Only the days that hold the newest ``k`` readings; for stored days, counting reads no data column.
 
-    It still opens every file.
+    It still opens every file, unless the counts come from the summary ``days``.
     """
     stored = DAY in df.columns
-    per_day = df.groupBy(day_of(df).alias("day")).agg(F.count("*").alias("c")).where(F.col("day").isNotNull())
+    if days is None:
+        days = df.groupBy(day_of(df).alias("day")).agg(F.count("*").alias("rows"))
+    per_day = days.where(F.col("day").isNotNull()).select("day", F.col("rows").alias("c"))
     running = per_day.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("day").desc())))
     first_day = F.min(F.when(F.col("upto") - F.col("c") < k, F.col("day")))
     edge = running.agg(first_day if stored else first_day.cast("timestamp_ntz")).scalar()
@@ -141,14 +143,18 @@ def _narrow(df: DataFrame, offset: int, limit: int, top_k: int) -> tuple[DataFra
 
 
 def page(
-    df: DataFrame, offset: int = 0, limit: int = 50, columns: list[str] | None = None, top_k: int = TOP_K
+    df: DataFrame, offset: int = 0, limit: int = 50, columns: list[str] | None = None, top_k: int = TOP_K,
+    days: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the readings in the order of ``newest_first``."""
+    """Rows ``offset`` to ``offset + limit`` of the readings in the order of ``newest_first``.
+
+    ``days`` is the summary of ``df``, which then has to be all of the readings stored by date.
+    """
     check_page(offset, limit)
     if offset + limit > top_k:
         rows, offset = _narrow(df, offset, limit, top_k)
     else:
-        rows = _in_newest_days(df, offset + limit)
+        rows = _in_newest_days(df, offset + limit, days)
     return rows.orderBy(*newest_first(df)).offset(offset).limit(limit).select(*(columns or PAGE_COLUMNS))
 
 

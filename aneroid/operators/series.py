@@ -89,6 +89,7 @@ def first_per_hour(
     date: dt.date | str | None = None,
     known_places: bool = False,
     with_date: str | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Earliest reading of every hour of one date (default: the newest), by two-digit hour label.
 
@@ -97,7 +98,7 @@ def first_per_hour(
     """
     if with_date not in (None, "label", "date"):
         raise ValueError(f"with_date must be None, 'label' or 'date', not {with_date!r}")
-    rows = rows_of_day(df, date, known_places)
+    rows = rows_of_day(df, date, known_places, days)
     firsts = _first_rows(rows, {"h": F.hour("timestamp")}, [day_of(df).alias("date"), *values], "timestamp")
     firsts = firsts.orderBy("h")
     label = hour_label(F.col("h")).alias("hour")
@@ -107,9 +108,9 @@ def first_per_hour(
     return firsts.select(shown, label, *values)
 
 
-def day_rows(df: DataFrame, date: dt.date | str | None = None) -> DataFrame:
+def day_rows(df: DataFrame, date: dt.date | str | None = None, days: DataFrame | None = None) -> DataFrame:
     """Every reading of one date (default: the newest): date and hour labels, temperature, in hour order."""
-    rows = rows_of_day(df, date, known_places=False)
+    rows = rows_of_day(df, date, known_places=False, days=days)
     return (
         rows.select(day_of(df).alias("day"), F.hour("timestamp").alias("h"), "temp", "timestamp", "id")
         .orderBy("h", "timestamp", "id")

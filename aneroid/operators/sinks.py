@@ -40,5 +40,14 @@ def write_readings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     The rebalance hint sizes the output: a day with a third of all readings is split over many tasks
     and files, small days share one task. Readings without a timestamp go to the null partition.
     """
+    _write_by_day(df, path, fmt, "errorifexists")
+
+
+def append_readings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Add readings to those stored at ``path``, in files of their own."""
+    _write_by_day(df, path, fmt, "append")
+
+
+def _write_by_day(df: DataFrame, path: str, fmt: str, mode: str) -> None:
     dated = df.withColumn(DAY, F.to_date("timestamp"))
-    dated.hint("rebalance", F.col(DAY)).write.mode("errorifexists").partitionBy(DAY).format(fmt).save(path)
+    dated.hint("rebalance", F.col(DAY)).write.mode(mode).partitionBy(DAY).format(fmt).save(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aneroid.plans.queries import BOX, DATE, INSTANTS, OVER_READINGS, POINT, RANGE
+from aneroid.plans.queries import BOX, DATE, INSTANTS, OVER_READINGS, POINT, RANGE, SUMMARIZED
 from aneroid.plans.readings import READING_EXPRESSIONS, hard
 
 READINGS = """
@@ -201,4 +201,6 @@ HARD_READINGS = f"SELECT {', '.join(hard(READING_EXPRESSIONS, 'varchar', 'timest
 ORACLES: dict[str, str] = {
     **{name: _over(READINGS, sql) for name, sql in SQL.items()},
     **{f"hard_{name}": _over(HARD_READINGS, SQL[name]) for name in OVER_READINGS},
+    **{f"summary_{name}": _over(READINGS, SQL[name]) for name in SUMMARIZED},
+    **{f"hard_summary_{name}": _over(HARD_READINGS, SQL[name]) for name in SUMMARIZED},
 }

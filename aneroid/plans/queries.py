@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.operators import aggregates, filters, paging, series, sinks
+from aneroid.operators import day_summary
 from aneroid.operators.adhoc import run_sql
 from aneroid.operators.location_index import build_location_index, lookup_location, read_location_index
 from aneroid.plans import endpoints
@@ -61,6 +62,22 @@ def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _summarized(use: Callable[[DataFrame, DataFrame], DataFrame], hard: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over stored readings and the summary of their days, which is made in two steps."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, summary = (hard_readings if hard else readings)(spark, sf_dir), scratch_path(spark, "day-summary")
+        path = scratch_path(spark, "readings")
+        late = F.coalesce(F.dayofmonth("timestamp") > 20, F.lit(True))
+        sinks.write_readings(rows.where(~late), path)
+        day_summary.write_day_summary(spark, path, summary)
+        sinks.append_readings(rows.where(late), path)
+        day_summary.extend_day_summary(spark, path, summary)
+        return use(spark.read.parquet(path), day_summary.read_day_summary(spark, path, summary))
+
+    return query
+
+
 # Queries over the readings alone.
 OVER_READINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # hourly averages
@@ -137,6 +154,17 @@ OVER_READINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     ),
 }
 
+# Queries that take the newest date, counts and dates from the summary of the stored days.
+SUMMARIZED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "hourly_avg_latest": lambda df, days: aggregates.hourly_average(df, days=days),
+    "first_per_hour_latest": lambda df, days: series.first_per_hour(df, ["temp"], with_date="label", days=days),
+    "latest_day_rows": lambda df, days: series.day_rows(df, days=days),
+    "distinct_dates_top50": lambda df, days: day_summary.dates(days),
+    "distinct_dates_known_places": lambda df, days: day_summary.dates(days, None, known_places=True),
+    "row_count": lambda df, days: day_summary.counted_rows(days),
+    "page": lambda df, days: paging.page(df, days=days),
+}
+
 # Queries that write something first: the location table in its forms, and the readings by date.
 STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "location_index": lambda spark, sf_dir: read_location_index(
@@ -168,4 +196,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _over_readings(query) for name, query in OVER_READINGS.items()},
     **{f"hard_{name}": _over_hard_readings(query) for name, query in OVER_READINGS.items()},
     **STORED,
+    **{f"summary_{name}": _summarized(use) for name, use in SUMMARIZED.items()},
+    **{f"hard_summary_{name}": _summarized(use, hard=True) for name, use in SUMMARIZED.items()},
 }
