@@ -183,6 +183,8 @@ SQL: dict[str, str] = {
     "single_date_envelope": _hour_envelope("records", f"{KNOWN} AND {LATEST_KNOWN}", LATEST_KNOWN_LABEL, day=True),
     "location_index": LOCATION,
     "location_index_streamed": LOCATION,
+    "location_index_compacted": LOCATION,
+    "point_lookup_compacted": f"SELECT * FROM ({LOCATION}) WHERE {AT_POINT}",
     "point_lookup_indexed": f"SELECT * FROM ({LOCATION}) WHERE {AT_POINT}",
     "stored_hourly_avg_latest": _hourly_avg(LATEST_KNOWN),
     "stored_first_temp_per_hour_top50": _first("hour", "temp", order="DESC NULLS LAST LIMIT 50"),

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from aneroid.operators import aggregates, filters, paging, series, sinks
 from aneroid.operators import day_summary
 from aneroid.operators.adhoc import run_sql
-from aneroid.operators.location_index import build_location_index, lookup_location, read_location_index
+from aneroid.operators.location_index import (
+    build_location_index, compact_location_index, lookup_location, read_location_index,
+)
 from aneroid.plans import endpoints
 from aneroid.plans.readings import hard_readings, readings, readings_stream
 from aneroid.scratch import scratch_path
@@ -56,6 +58,20 @@ def _streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_location_index(spark, path).select(*LOCATION_COLUMNS)
 
 
+def _compacted_index(spark: SparkSession, sf_dir: str) -> str:
+    """Built from a half of the readings, streamed in many batches from the rest, compacted on the way."""
+    path, feed = scratch_path(spark, "location-index"), scratch_path(spark, "location-feed")
+    checkpoint, rows = scratch_path(spark, "location-upkeep"), readings(spark, sf_dir)
+    build_location_index(rows.where("id % 2 = 0"), path)
+    for part in range(2):
+        rows.where(f"id % 4 = {2 * part + 1}").repartition(4).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        maintain_location_index(stream, path, checkpoint).awaitTermination()
+        if part == 0:
+            compact_location_index(spark, path)
+    return path
+
+
 def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "readings")
     sinks.write_readings(df, path)
@@ -171,6 +187,10 @@ STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         spark, _index(spark, readings(spark, sf_dir))
     ).select(*LOCATION_COLUMNS),
     "location_index_streamed": _streamed_index,
+    "location_index_compacted": lambda spark, sf_dir: read_location_index(
+        spark, _compacted_index(spark, sf_dir)
+    ).select(*LOCATION_COLUMNS),
+    "point_lookup_compacted": lambda spark, sf_dir: lookup_location(spark, _compacted_index(spark, sf_dir), *POINT),
     "point_lookup_indexed": lambda spark, sf_dir: lookup_location(
         spark, _index(spark, readings(spark, sf_dir)), *POINT
     ),

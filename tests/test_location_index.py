@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from aneroid.operators.filters import at_point
 from aneroid.operators.location_index import (
-    build_location_index, location_rows, lookup_location, read_location_index,
+    build_location_index, compact_location_index, live_loads, location_rows, lookup_location, publish,
+    read_location_index,
 )
 from aneroid.schema import LOCATION_COLUMNS, LOCATION_KEY
 from aneroid.streaming.location_upkeep import maintain_location_index, write_load
@@ -112,3 +113,57 @@ def test_a_retried_batch_changes_nothing(spark, base, tmp_path):
     for _ in range(2):
         write_load(base, index, "batch-000000000000")
     assert read_location_index(spark, index).count() == base.count()
+
+
+def everything(spark, index):
+    return sorted(tuple(r) for r in read_location_index(spark, index).select(*LOCATION_COLUMNS).collect())
+
+
+def test_compaction_keeps_what_lookups_find(spark, base, tmp_path):
+    later, stale = updates(base)
+    index = str(tmp_path / "index")
+    build_location_index(base.where("id % 2 = 0"), index, partitions=2)
+    parts = [base.where("id % 2 = 1"), later, stale]
+    for i, part in enumerate(parts):
+        write_load(part, index, f"q-{i}")
+    before = everything(spark, index)
+    assert len(live_loads(spark, index)) == 4
+    running = read_location_index(spark, index)  # began before the compaction
+    name = compact_location_index(spark, index, partitions=2)
+    assert live_loads(spark, index) == ["base", name] and everything(spark, index) == before
+    assert running.count() == len(before)
+
+    # a retry of a batch that has been folded adds nothing, another batch does; its files are folded next time
+    write_load(later.withColumn("temp", F.lit(-1.0)), index, "q-1")
+    assert everything(spark, index) == before
+    write_load(later.withColumns({"temp": F.lit(900.0), "processed_at": F.expr("processed_at + interval '2' hour")}), index, "q-3")
+    after = everything(spark, index)
+    assert after != before and sum(r[2] == 900.0 for r in after) == later.count()
+    compact_location_index(spark, index, with_base=True)
+    assert len(live_loads(spark, index)) == 1 and everything(spark, index) == after
+    assert compact_location_index(spark, index) is None
+
+
+def test_half_written_loads_do_not_show(spark, base, tmp_path):
+    index = str(tmp_path / "index")
+    build_location_index(base, index, partitions=1)
+    want = everything(spark, index)
+    half = base.withColumn("temp", F.lit(7.0)).select(*LOCATION_COLUMNS, F.lit(None).cast("timestamp_ntz").alias("processed_at"))
+    half.write.parquet(f"{index}/load=q-0")
+    assert everything(spark, index) == want
+    write_load(base.where("id % 2 = 0"), index, "q-0")  # the try that succeeds replaces it
+    assert everything(spark, index) == want
+
+
+def test_loads_published_during_a_compaction_stay(spark, base, tmp_path):
+    index = str(tmp_path / "index")
+    for i in range(2):
+        write_load(base.where(f"id % 3 = {i}"), index, f"q-{i}")
+    seen = live_loads(spark, index)
+    write_load(base.where("id % 3 = 2"), index, "q-2")
+    # what a compaction that began with ``seen`` publishes at its end
+    write_load(base.where("id % 3 < 2"), index, "made")
+    publish(spark, index, "folded", seen)
+    spark.read.parquet(f"{index}/load=made").write.parquet(f"{index}/load=folded")
+    assert live_loads(spark, index) == ["folded", "made", "q-2"]
+    assert read_location_index(spark, index).count() == base.count()
