@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -98,18 +99,23 @@ def contexts(texts: Sequence[str]) -> Counter:
     A passage copied into many documents counts once, so its words don't look typical.
     """
     number: dict[bytes, int] = {b"": 0}
-    triples = []
+    words = array("i", [0])
     for text in texts:
-        ids = np.array([0, *(number.setdefault(w, len(number)) for w in windows(text)), 0], np.int64)
-        triples.append(np.stack([ids[:-2], ids[1:-1], ids[2:]]))
-    if not triples:
-        return Counter()
-    before, word, after = np.concatenate(triples, axis=1)
+        words.extend(number.setdefault(w, len(number)) for w in windows(text))
+        words.append(0)
+    ids = np.frombuffer(words, np.int32)
+    at = np.flatnonzero(ids[1:-1]).astype(np.int32) + 1
     size = len(number)
-    # pairs are numbered first, as the product of three sizes can be over 64 bits
-    pairs, pair = np.unique(word * size + before, return_inverse=True)
-    surroundings = np.unique(pair * size + after)
-    counts = np.bincount(pairs[surroundings // size] // size, minlength=size)
+    # in parts by word, as sorting takes several times the memory
+    counts = np.zeros(size, np.int64)
+    parts = 1 + (len(at) >> 19)
+    for part in range(parts):
+        some = at[ids[at] % parts == part]
+        word = ids[some].astype(np.int64)
+        # pairs are numbered first, as the product of three sizes can be over 64 bits
+        pairs, pair = np.unique(word * size + ids[some - 1], return_inverse=True)
+        surroundings = np.unique(pair * size + ids[some + 1])
+        counts += np.bincount(pairs[surroundings // size] // size, minlength=size)
     return Counter({w: int(n) for w, n in zip(number, counts, strict=True) if n and w})
 
 

@@ -248,3 +248,14 @@ def test_packing_round_trip():
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(pitman_yor.unpack(pitman_yor.pack(*arrays)), arrays, strict=True))
     u = np.array([0, 1, (1 << 40) - 1, 123456789012], np.uint64)
     assert (pitman_yor._from_planes(pitman_yor._planes(u)) == u).all()
+
+
+def test_surroundings_are_counted_once_each():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["a", "b", "c.", '"D"', "e", "ff"], k=rng.randrange(30))) for _ in range(300)] + [""]
+    triples = set()
+    for text in texts:
+        words = [b"", *compression.windows(text), b""]
+        triples |= set(zip(words, words[1:], words[2:], strict=False))
+    assert compression.contexts(texts) == Counter(word for _, word, _ in triples if word)
+    assert not compression.contexts([]) and not compression.contexts([""])
