@@ -106,7 +106,7 @@ class FMIndex:
 class Phrases:
     """The windows of a block of benchmark items, over the numbers of the items' words."""
 
-    def __init__(self, ids: Sequence[int], texts: Sequence[str | None], window: int):
+    def __init__(self, ids: Sequence[str | None], texts: Sequence[str | None], window: int):
         hashes, bounds = [], [0]
         for part in chunks(pa.array(texts, pa.string()), NOT_ALPHANUMERIC):
             hashes.append(part.hashes)
@@ -114,11 +114,12 @@ class Phrases:
         words = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         self.vocabulary, numbers = np.unique(words, return_inverse=True)
         numbers = numbers + 1
-        found: dict[int, dict[bytes, set[int]]] = {}
+        found: dict[int, dict[bytes, set[str]]] = {}
         for item, a, b in zip(ids, bounds, bounds[1:], strict=False):
             length = min(window, b - a)
             for i in range(a, b - length + 1) if length else ():
-                found.setdefault(length, {}).setdefault(numbers[i : i + length].tobytes(), set()).add(item)
+                owners = found.setdefault(length, {}).setdefault(numbers[i : i + length].tobytes(), set())
+                owners.update(() if item is None else (item,))
         self.by_length = {
             n: (np.frombuffer(b"".join(p), numbers.dtype).reshape(len(p), n), list(p.values())) for n, p in found.items()
         }
@@ -159,10 +160,10 @@ class Shard:
             numbers[at], head, row[at] + first_row, in_row, words.starts[at] - row_start, words.ends[at] - row_start
         ))
 
-    def matches(self) -> tuple[dict[int, list[tuple[int, int, int, int]]], dict[int, set[int]]]:
+    def matches(self) -> tuple[dict[int, list[tuple[int, int, int, int]]], dict[int, set[str]]]:
         """Per row: the merged spans of all occurrences of all windows, and the items with an occurrence."""
         spans: dict[int, list[tuple[int, int, int, int]]] = {}
-        items: dict[int, set[int]] = {}
+        items: dict[int, set[str]] = {}
         if not self.parts:
             return spans, items
         numbers, head, row, place, start, end = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -213,14 +214,15 @@ def contamination(
     consecutive words of an item; a shorter item is one window; an item without words has none. ``spans`` are
     the merged ranges of words (and of UTF-8 bytes) inside any occurrence of any window; ``items`` the sorted
     ids of the items with an occurrence. ``keep`` names the columns to keep (all). Columns named like the
-    results are replaced. NULL and empty texts have 0 words; NULL item ids are left out; repeated items and
-    documents count each; empty tables give empty results.
+    results are replaced. Ids of items are returned as strings, sorted as such. NULL and empty texts have 0 words;
+    an item without an id marks words like any other but has no place in ``items``; repeated items count once,
+    repeated documents each; empty tables give empty results.
 
     Each task indexes its own documents, in shards of at most ``SHARD_WORDS`` words (a longer document is a
     shard), so nothing is shuffled and documents are read as often as the benchmark has blocks of
     ``BLOCK_WORDS`` words: once, for any usual benchmark. A block is what a task gets broadcast.
     """
-    results = {"n_words": "bigint", "spans": f"array<{SPAN}>", "items": "array<bigint>"}
+    results = {"n_words": "bigint", "spans": f"array<{SPAN}>", "items": "array<string>"}
     keep = [c for c in (keep or docs.columns) if c not in results]
     df = docs.select(*dict.fromkeys([*keep, text_col]))
     blocks = _blocks(benchmark, item_id, item_text)
@@ -236,10 +238,10 @@ def contamination(
     return df
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[list[int], list[str]]]:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[list[str | None], list[str]]]:
     ids, texts, size = [], [], 0
-    items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    for r in items.filter("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    for r in items.filter("t IS NOT NULL").toLocalIterator():
         words = len(r["t"]) // 2 + 1
         if ids and size + words > BLOCK_WORDS:
             yield ids, texts
@@ -282,7 +284,7 @@ def _lookup(ids, texts, text_col, wanted, window, again):
             yield pa.RecordBatch.from_arrays(
                 [
                     *columns, pa.array(counts, pa.int64()), pa.array(rows, kind),
-                    pa.array([sorted(items.get(r, ())) for r in range(len(column))], pa.list_(pa.int64())),
+                    pa.array([sorted(items.get(r, ())) for r in range(len(column))], pa.list_(pa.string())),
                 ],
                 names=[*wanted, "n_words", "spans", "items"],
             )

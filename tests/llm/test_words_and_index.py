@@ -59,14 +59,14 @@ def brute_force(documents, items, window=13):
     for item, text in items:
         words = re.findall(PLAIN_WORD, lower(text))
         n = min(window, len(words))
-        for i in range(len(words) - n + 1) if n and item is not None else ():
-            windows.setdefault(tuple(words[i : i + n]), set()).add(item)
+        for i in range(len(words) - n + 1) if n else ():
+            windows.setdefault(tuple(words[i : i + n]), set()).update(() if item is None else (str(item),))
     out = []
     for key, text in documents:
         words, hit, found = re.findall(PLAIN_WORD, lower(text)), set(), set()
         for n in {len(w) for w in windows}:
             for i in range(len(words) - n + 1):
-                if owners := windows.get(tuple(words[i : i + n])):
+                if (owners := windows.get(tuple(words[i : i + n]))) is not None:
                     hit |= set(range(i, i + n))
                     found |= owners
         out.append((key, len(words), sorted(hit), sorted(found)))
@@ -130,6 +130,14 @@ def test_empty_tables(spark, documents, items):
     assert ordered(found(spark, documents, items)) == ordered(brute_force(documents, items))
 
 
+def test_ids_of_items_may_be_strings_or_missing(spark):
+    docs = spark.createDataFrame([(1, "a solo b go")], "doc_id long, text string")
+    bench = spark.createDataFrame([("x-1", "solo"), (None, "go"), ("10", "b"), ("9", "b")], "item_id string, text string")
+    row = fm_index.contamination(docs, bench).first()
+    assert row["items"] == ["10", "9", "x-1"]
+    assert [(s["first_word"], s["end_word"]) for s in row["spans"]] == [(1, 4)]
+
+
 def test_bytes_of_spans_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "é Solo x", 7, "e")], "doc_id long, text string, n_words long, spans string")
     row = fm_index.contamination(docs, spark.createDataFrame([(3, "solo")], "item_id long, text string")).first()
