@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from math import log2
+from math import exp, lgamma, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,10 +114,9 @@ def learn(
     bad: str,
     split_by: str,
     thresholds: int = 24,
-    most_rules: int = 8,
     most_conditions: int = 3,
     precision: float = 0.95,
-    least_covered: int = 3,
+    chance: float = 0.01,
 ) -> DecisionList:
     """Sequential covering over text statistics: rules that find the rows where ``bad`` is true.
 
@@ -125,8 +124,13 @@ def learn(
     of bin numbers, written once. Then, rule by rule: two thirds of the rows not yet covered (by a hash of
     ``split_by``) grow a rule by the condition with the highest information gain, until it covers no good row
     or has ``most_conditions``; the other third prunes it to the prefix with the best (bad - good) / covered
-    there. A rule is kept if that third gives it ``precision`` and ``least_covered`` bad rows; the first that
-    fails ends the list. Only counts per (feature, bin) reach the driver, so all labelled rows are used.
+    there. A rule is kept if that third gives it ``precision`` and a bad row, and if so many bad rows among all it
+    covers would come about by ``chance`` at most: the probability of drawing them at random, times the number of
+    rules of that length. So a few rows are enough where bad ones are rare, and not otherwise. After a rule
+    that fails, its first feature and direction are set aside and the next best is tried; all are tried again
+    once a rule was kept, and the list ends when none is kept any more. Ties go to the first feature, ``<=`` and
+    the lowest threshold; repeated rows count each. Only counts per (feature, bin) reach the driver, so all
+    labelled rows are used.
     No bad or no good rows give an empty list. NULL in ``bad`` rows are left out.
     """
     columns = features()
@@ -149,15 +153,22 @@ def learn(
     # rows with the same bins count together
     binned = stored(binned.groupBy("bad", "bins", "prune").agg(F.count("*").alias("n")), "rules-binned")
     rules: list[list[Condition]] = []
-    while len(rules) < most_rules:
-        left = binned.filter(~_any(rules))
-        rule = _grow(left.filter(~F.col("prune")), most_conditions)
-        if not rule:
+    tried = sum(2 * len(cut) for cut in cuts)
+    aside: set[tuple[int, bool]] = set()
+    kept = False
+    left = binned
+    while True:
+        rule = _grow(left.filter(~F.col("prune")), most_conditions, aside)
+        if rule:
+            if pruned := _prune(left, rule, precision, chance, tried):
+                rules.append(pruned)
+                left, kept = binned.filter(~_any(rules)), True
+            else:
+                aside.add((rule[0].feature, rule[0].above))
+        elif kept:
+            aside, kept = set(), False
+        else:
             break
-        rule = _prune(left.filter("prune"), rule, precision, least_covered)
-        if not rule:
-            break
-        rules.append(rule)
     return DecisionList([
         [(names[c.feature], ">" if c.above else "<=", float(cuts[c.feature][c.bin])) for c in rule] for rule in rules
     ])
@@ -182,7 +193,8 @@ def _any(rules: Sequence[Sequence[Condition]]) -> Column:
     return covered
 
 
-def _grow(rows: DataFrame, most: int) -> list[Condition]:
+def _grow(rows: DataFrame, most: int, aside: set[tuple[int, bool]]) -> list[Condition]:
+    """The rule with the highest gains whose first condition isn't set aside."""
     rule: list[Condition] = []
     while len(rule) < most:
         counts = rows.filter(_holds(rule)).select("bad", "n", F.posexplode("bins").alias("feature", "bin")).groupBy(
@@ -205,6 +217,8 @@ def _grow(rows: DataFrame, most: int) -> list[Condition]:
             for b in sorted(by_bin)[:-1]:
                 below = [below[k] + by_bin[b][k] for k in (0, 1)]
                 for above, (p, n) in ((False, below), (True, [bad - below[0], good - below[1]])):
+                    if not rule and (feature, above) in aside:
+                        continue
                     gain = p * (log2(p / (p + n)) - before) if p else 0.0
                     if gain > best[0] + 1e-9:
                         best = (gain, Condition(feature, above, b))
@@ -214,17 +228,31 @@ def _grow(rows: DataFrame, most: int) -> list[Condition]:
     return rule
 
 
-def _prune(rows: DataFrame, rule: list[Condition], precision: float, least: int) -> list[Condition]:
-    prefixes = [rule[: k + 1] for k in range(len(rule))]
+def _prune(rows: DataFrame, rule: list[Condition], precision: float, chance: float, tried: int) -> list[Condition]:
+    prefixes = [[], *(rule[: k + 1] for k in range(len(rule)))]
     counts = rows.agg(*[
-        F.sum(F.when(_holds(p) & (F.col("bad") == side), F.col("n")).otherwise(0)).alias(f"{k}_{side}")
-        for k, p in enumerate(prefixes) for side in (True, False)
+        F.coalesce(F.sum(F.when(_holds(p) & (F.col("bad") == side) & among, F.col("n"))), F.lit(0)).alias(f"{k}_{side}_{name}")
+        for k, p in enumerate(prefixes) for side in (True, False) for name, among in (("third", F.col("prune")), ("all", F.lit(True)))
     ]).first()
-    scored = [
-        ((b - g) / (b + g), -k, b, g) for k in range(len(prefixes))
-        if (b := counts[f"{k}_True"] or 0) + (g := counts[f"{k}_False"] or 0)
-    ]
+    third, whole = ([(counts[f"{k}_True_{x}"], counts[f"{k}_False_{x}"]) for k in range(len(prefixes))] for x in ("third", "all"))
+    scored = [((b - g) / (b + g), -k, b, g) for k, (b, g) in enumerate(third) if k and b + g]
     if not scored:
         return []
     _, k, b, g = max(scored)
-    return prefixes[-k] if b >= least and b >= precision * (b + g) else []
+    hits, drawn = whole[-k][0], sum(whole[-k])
+    enough = b and b >= precision * (b + g) and _tail(hits, drawn, *whole[0]) * tried**-k <= chance
+    return prefixes[-k] if enough else []
+
+
+def _tail(hits: int, drawn: int, bad: int, good: int) -> float:
+    """The probability that ``drawn`` of the rows, drawn at random, hold ``hits`` bad ones or more."""
+    def ways(n: int, k: int) -> float:
+        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+    whole, total = ways(bad + good, drawn), 0.0
+    for x in range(max(hits, drawn - good), min(bad, drawn) + 1):
+        term = exp(ways(bad, x) + ways(good, drawn - x) - whole)
+        total += term
+        if x * (bad + good) > bad * drawn and term <= 1e-9 * total:  # beyond the mean, terms only get smaller
+            break
+    return total

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from aneroid.llm import chat_events, chat_template, decision_lists, url_trust
+from aneroid.llm import chat_events, chat_template, decision_lists, queries, url_trust
 
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string"
 TRICKY = ["\\### Assistant: </turn> ok", "<turn user>\n", "\\", "\\\\<turn", "a\\</turn>\nb", "", None, "<turn", "é\n\n<tur </turn", ">"]
@@ -129,6 +129,45 @@ def test_learned_rules_find_what_the_labels_mark(spark):
     assert all(n in names and s in (">", "<=") for rule in rules.rules for n, s, _ in rule)
 
 
+def test_every_kind_of_bad_text_is_found(spark):
+    """Ten kinds, each with another statistic; half of the shouting texts are good, and no other statistic tells them."""
+    names = ["n_words", "word_chars", "n_chars_all", "n_symbols", "n_upper", "n_marks", "n_digits", "n_lines", "n_dup_lines", "n_repeat_words"]
+    rng, rows = random.Random(5), []
+    change = [
+        lambda x: x.update(n_symbols=x["n_words"]), lambda x: x.update(n_digits=2 * x["n_words"]), lambda x: x.update(n_marks=x["n_words"]),
+        lambda x: x.update(n_dup_lines=8), lambda x: x.update(n_repeat_words=x["n_words"] // 2), lambda x: x.update(word_chars=12 * x["n_words"]),
+        lambda x: x.update(word_chars=2 * x["n_words"]), lambda x: x.update(n_words=20, word_chars=100), lambda x: x.update(n_lines=1),
+        lambda x: x.update(n_words=5000, word_chars=25_000, n_lines=250),
+    ]
+    for i in range(6000):
+        n = rng.randrange(180, 220)
+        x = dict(zip(names, (n, 5 * n, 6 * n, 0, 0, 0, 0, 10, 0, 0), strict=True))
+        kind = i % 60
+        if kind < len(change):
+            change[kind](x)
+        elif kind < 20:
+            x["n_upper"] = 4 * n
+        rows.append((i, kind, kind < len(change) or kind < 15, *x.values()))
+    df = spark.createDataFrame(rows, "doc_id long, kind long, bad boolean, " + ", ".join(f"{c} long" for c in names))
+    rules = decision_lists.learn(df, "bad", "doc_id")
+    assert len(rules.rules) > 8
+    marked = {r["kind"]: r["c"] for r in df.groupBy("kind").agg(F.avg(rules.expression().isNotNull().cast("int")).alias("c")).collect()}
+    assert min(marked[k] for k in range(10)) > 0.9 and max(marked[k] for k in range(10, 60)) < 0.1
+
+
+def test_the_chance_of_a_rule_is_that_of_drawing(spark):
+    assert decision_lists._tail(1, 1, 1, 3) == pytest.approx(1 / 4)
+    assert decision_lists._tail(2, 2, 3, 7) == pytest.approx(3 / 45)
+    assert decision_lists._tail(0, 2, 3, 7) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_few_labels_give_a_rule(spark, size):
+    rows = queries.op3_decision_lists(spark, f"/root/testdata/{size}").collect()
+    assert any(r["rule"] is not None for r in rows)
+    assert all(r["kept"] == (not r["base_failed"] and r["rule"] is None) for r in rows)
+
+
 def test_nothing_to_learn_gives_no_rules(spark):
     rows = documents(random.Random(3), 40)
     df = decision_lists.text_statistics(spark.createDataFrame(rows, "doc_id long, text string, bad boolean"))
