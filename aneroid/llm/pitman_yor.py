@@ -2,7 +2,7 @@
 
 Every word u that is followed by others is a restaurant whose dishes are the following words w; all these
 restaurants share one parent, whose customers are their tables and whose own base is uniform. Tables are
-sampled by Gibbs sweeps, and predictive probabilities are averaged over several samples.
+sampled by Gibbs sweeps, which draw the number of tables of a dish given everything else, and predictive probabilities are averaged over several samples.
 
 The tokens are shuffled once, by w. So each part of the vocabulary has all contexts of its words, and their
 restaurants and the parent's counts are sampled together. What a part can't see are the sums over all words of
@@ -12,6 +12,7 @@ added up over the parts and sent back, so that each sweep has the same sums as i
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ BEGIN, END = (mix(np.array([x], np.uint64))[0] for x in (0xB0, 0xE0))
 CONTEXT_BITS = 40  # contexts whose hashes agree in so many bits share a restaurant; words have 64
 FLUSH_TOKENS, FLUSH_ROWS = 1 << 21, 1 << 15
 PART_TOKENS = 1_500_000
-BLOCK = 64  # beyond so many customers of a dish, those of 1 / BLOCK of them are seated in one draw
+EXACT = 256  # customers of a dish up to which arrangements are counted by recursion
 
 
 @dataclass(frozen=True)
@@ -162,26 +163,92 @@ def _deal(parts: int, hot: np.ndarray):
     return run
 
 
+@functools.cache
+def _arrangements(discount: float) -> np.ndarray:
+    """The logarithm of S(c, t), the weight of all ways to seat c customers at t tables, for c up to EXACT.
+
+    S(c + 1, t) = S(c, t - 1) + (c - discount * t) S(c, t): the next customer opens a table or joins one.
+    """
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(1, EXACT + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(EXACT):
+            join = np.log(np.maximum(c - discount * t, 0.0)) + out[c, 1:]
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], join)
+    return out
+
+
+@functools.cache
+def _curve(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points log y, log(x f'(x) / f(x)) and log(x f'(x)) of f(x) = (1 - y ** discount) / discount, y = 1 - x."""
+    log_y = -np.concatenate([np.geomspace(1e-9, 0.05, 4000), np.linspace(0.05, 60, 40_000)[1:]])
+    x = -np.expm1(log_y)
+    log_f = np.log(-np.expm1(discount * log_y) / discount)
+    log_slope = np.log(x) + (discount - 1) * log_y
+    return log_y, log_slope - log_f, log_slope
+
+
+@functools.cache
+def _few_tables(discount: float) -> np.ndarray:
+    """What the saddle point is off by for 1 to EXACT / 4 tables, which hardly depends on the customers."""
+    t = np.arange(1, EXACT // 4 + 1)
+    return _arrangements(discount)[EXACT, t] - _saddle_point(EXACT, t, discount)
+
+
+def _many_arrangements(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t) for more than EXACT customers."""
+    off = _few_tables(discount)
+    return _saddle_point(c, t, discount) + np.where(t == c, 0.0, off[np.minimum(t, len(off)) - 1] * np.minimum(1, len(off) / t))
+
+
+def _saddle_point(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t): S is c! / t! times the coefficient of x ** c in f(x) ** t, taken at its saddle point."""
+    log_y, ratio, _ = _curve(discount)
+    ly = np.interp(np.log(c / np.minimum(t, c - 0.5)), ratio, log_y)
+    x, y = -np.expm1(ly), np.exp(ly)
+    f = -np.expm1(discount * ly) / discount
+    first = x * y ** (discount - 1) / f
+    spread = t * (first + x * x * (1 - discount) * y ** (discount - 2) / f - first**2)
+    lg = np.array([math.lgamma(c + 1) - math.lgamma(k + 1) for k in t.tolist()])
+    found = lg + t * np.log(f) - c * np.log(x) - 0.5 * np.log(2 * math.pi * spread)
+    return np.where(t == c, 0.0, found)
+
+
+def _draw(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    weights = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return (weights <= rng.random((len(logs), 1)) * weights[:, -1:]).sum(axis=1)
+
+
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with so many customers each, seated one after the other.
+    """Gibbs step: the tables of each dish, drawn given its customers and all the rest.
 
-    ``new`` is strength times base probability: the weight of a new table. Customer i + 1 joins one of the t
-    tables of the dish with weight i - discount * t. ``customers`` is in descending order. Up to BLOCK
-    customers each one is drawn; after that the next 1 / BLOCK of them with the weights at the first.
+    ``new`` is strength times base probability: the weight of a new table. Given that, t tables of c customers
+    have the weight S(c, t) * new ** t, which is what taking customers out and seating them again, one by one,
+    settles on. ``customers`` is in descending order. Up to EXACT customers S is exact; beyond, it is a
+    saddle-point value, corrected for few tables, and t is drawn among those within eight deviations of its mode.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    i = 1
-    active = int(np.searchsorted(-customers, -i, "left"))  # dishes with more than i customers
-    while active:
-        block = max(1, i // BLOCK)
-        t = tables[:active]
-        chance = new[:active] / (new[:active] + i - discount * t)
-        if block == 1:
-            t += rng.random(active) < chance
-        else:
-            t += rng.binomial(np.minimum(block, customers[:active] - i), np.clip(chance, 0, 1))
-        i += block
-        active = int(np.searchsorted(-customers, -i, "left"))
+    log_new = np.log(np.maximum(new, 1e-300))
+    large, several = (int(np.searchsorted(-customers, -n, "left")) for n in (EXACT, 1))
+    exact = _arrangements(discount)
+    cuts = large + np.flatnonzero(np.diff(customers[large:several], prepend=-1, append=-1)) if several > large else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        size = int(customers[a])
+        t, step = np.arange(1, size + 1), max(1, (1 << 20) // size)
+        for i in range(a, b, step):
+            some = slice(i, min(b, i + step))
+            tables[some] = 1 + _draw(exact[size, 1 : size + 1] + log_new[some, None] * t, rng)
+    if large:
+        log_y, _, log_slope = _curve(discount)
+        at = np.interp(np.log(customers[:large]) - log_new[:large], log_slope, log_y)
+        mode = np.exp(log_new[:large]) * -np.expm1(discount * at) / discount
+        for i in range(large):
+            c = int(customers[i])
+            m = min(max(mode[i], 1.0), c)
+            reach = 8 * math.sqrt(m) + 8
+            t = np.arange(max(1, int(m - reach)), min(c, int(m + reach)) + 1)
+            tables[i] = t[_draw((_many_arrangements(c, t, discount) + t * log_new[i])[None], rng)[0]]
     return tables
 
 

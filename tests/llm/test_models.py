@@ -231,16 +231,53 @@ def test_scores_do_not_depend_on_the_number_of_parts(spark):
     assert got[8][-1] == pytest.approx(got[1][-1], abs=0.05) and got[200][-1] == pytest.approx(got[1][-1], abs=0.05)
 
 
-def test_seating_follows_the_process():
-    rng = np.random.default_rng(0)
-    n, d, theta = 200, 0.5, 2.0
-    tables = pitman_yor.seat(np.full(4000, n), np.full(4000, theta), d, rng)
-    expected, t = 1.0, np.ones(4000)
-    for i in range(1, n):
-        t = t + (np.random.default_rng(i).random(4000) < theta / (theta + i - d * t))
-    expected = t.mean()
-    assert tables.mean() == pytest.approx(expected, rel=0.05)
-    assert pitman_yor.seat(np.array([3, 1, 0]), np.zeros(3), d, rng).tolist() == [1, 1, 0]
+def exact_law(c, a, d):
+    """Probabilities of t = 1..c tables, by adding up the weights of all seatings."""
+    t, weights = np.arange(1, c + 1), np.where(np.arange(c) == 0, 0.0, -np.inf)
+    with np.errstate(divide="ignore"):
+        for i in range(1, c):
+            weights = np.logaddexp(weights + np.log(np.maximum(i - d * t, 0)), np.concatenate([[-np.inf], weights[:-1]]))
+    p = weights + t * np.log(a)
+    p = np.exp(p - p.max())
+    return p / p.sum()
+
+
+@pytest.mark.parametrize("c, a, d", [(2, 1.0, 0.8), (20, 1.0, 0.8), (60, 1.0, 0.8), (60, 10.0, 0.8), (40, 0.05, 0.6), (300, 3.0, 0.8), (1500, 3.0, 0.6), (1500, 200.0, 0.8), (300, 40.0, 0.6), (300, 0.01, 0.8), (1500, 0.05, 0.8)])
+def test_seating_follows_the_exact_law(c, a, d):
+    n, p, t = 20_000, exact_law(c, a, d), np.arange(1, c + 1)
+    mean = (p * t).sum()
+    variance = (p * t * t).sum() - mean**2
+    tables = pitman_yor.seat(np.full(n, c) if c <= pitman_yor.EXACT else np.full(2000, c), np.full(n, a), d, np.random.default_rng(1))
+    assert tables.mean() == pytest.approx(mean, abs=5 * np.sqrt(variance / len(tables)) + 0.01 * mean)
+    assert tables.var() == pytest.approx(variance, rel=0.15, abs=0.01)
+
+
+def reseated(c, a, d, rounds, rng):
+    """Tables of one dish while customers leave and come back one by one."""
+    sizes, seen = [1] * c, []
+    for _ in range(rounds):
+        for _ in range(c):
+            i = rng.choices(range(len(sizes)), sizes)[0]
+            sizes[i] -= 1
+            sizes = [x for x in sizes if x]
+            k = rng.choices(range(len(sizes) + 1), [*(x - d for x in sizes), a])[0]
+            sizes = [x + (j == k) for j, x in enumerate(sizes)] + [1] * (k == len(sizes))
+        seen.append(len(sizes))
+    return np.mean(seen[rounds // 10 :])
+
+
+def test_seating_equals_customer_by_customer_sampling():
+    rng = random.Random(4)
+    for c, a, d in ((6, 2.0, 0.8), (20, 1.0, 0.5)):
+        tables = pitman_yor.seat(np.full(20_000, c), np.full(20_000, a), d, np.random.default_rng(2))
+        assert tables.mean() == pytest.approx(reseated(c, a, d, 3000, rng), rel=0.05)
+
+
+def test_seating_of_few_and_without_new_tables():
+    assert pitman_yor.seat(np.array([400, 3, 1, 0]), np.zeros(4), 0.5, np.random.default_rng(0)).tolist() == [1, 1, 1, 0]
+    assert pitman_yor.seat(np.zeros(0, np.int64), np.zeros(0), 0.5, np.random.default_rng(0)).tolist() == []
+    everyone = pitman_yor.seat(np.array([400, 3]), np.full(2, 1e12), 0.5, np.random.default_rng(0))
+    assert everyone.tolist() == [400, 3]
 
 
 def test_packing_round_trip():
