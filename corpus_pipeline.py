@@ -26,23 +26,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id, once if it is repeated.
+    """One document of each group of near-duplicates: that with the smallest id.
 
-    Documents without words are in no group and stay, and so do those without an id.
+    If rows repeat that id, also with different texts, the one with the smallest text stays (then the smallest
+    other columns, in their order). Documents without words are in no group and stay, and so do
+    those without an id.
     """
     near = odd_sketch.near_duplicates(docs)
     gone = near.filter("component_id <> doc_id").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = near.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
     single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(once)
+    smallest = F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    once = again.filter(count_words() > 0).groupBy("doc_id").agg(smallest.alias("_row"))
+    once = once.select("doc_id", "_row.*").select(*docs.columns)
+    return single.unionByName(once).unionByName(again.filter(count_words() == 0))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth is in benchmark passages."""
-    found = contaminated_documents(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    """Documents of whose words less than a twentieth is in benchmark passages.
+
+    NULL and empty texts stay, repeated rows are judged alike, and columns named like the operator's are kept.
+    """
+    own = docs.toDF(*[c if c == "text" else f"_own_{c}" for c in docs.columns])
+    found = contaminated_documents(own, table(spark, sf_dir, "benchmark"), own.columns)
+    return found.filter(~F.col("contaminated")).select(*own.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
