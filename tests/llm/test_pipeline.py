@@ -93,3 +93,20 @@ def test_odd_rows_pass_every_stage(spark, name):
     kept = {(r["doc_id"], r["text"]) for r in got.collect()}
     assert {(None, None), (None, ""), (1, None), (2, " \n")} <= kept
     assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_of_rows_with_one_id_the_smallest_text_stays(spark, parts):
+    rows = [(7, f"{w} " * 9 + str(i), "en", "a", i) for i, w in enumerate(("delta", "beta", "alpha", "gamma"))] + [(7, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows[::-1] if parts > 1 else rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, df.repartition(parts), SF).collect()
+    assert sorted((r["text"] or "none").split()[0] for r in got) == ["alpha", "none"]
+
+
+def test_columns_named_like_an_operators_keep_their_values(spark):
+    more = {"n_words": 777, "n_hit": 5, "spans": "mine", "items": "x", "contaminated": True, "shard_": 1}
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([{"doc_id": 1, "text": text, "lang": "en", "source": "a", "n_chars": len(text), **more}])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        (row,) = stage(spark, df, SF).collect()
+        assert {k: row[k] for k in more} == more, name
