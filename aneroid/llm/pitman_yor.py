@@ -424,7 +424,7 @@ class Seating:
         self.base = (s.parent_strength + s.parent_discount * (all_tables + hot_tables.sum())) / (vocabulary + 1)
         self.chance = (customers - s.parent_discount * parent + self.base) / (s.parent_strength + all_customers + hot_customers.sum())
         if sweep >= s.burn_in:
-            self.samples.append((self.tables, self.chance))
+            self.samples.append((self.tables, self.chance.astype(np.float32)))
 
 
 def _owner(contexts: np.ndarray, parts: int) -> np.ndarray:
@@ -540,7 +540,7 @@ def score_corpus(
         for chunk, a, b in zip(part.chunks, cuts, cuts[1:], strict=False):
             rows, at = np.unique(part.token_row[a:b], return_inverse=True)
             sums = [np.bincount(at, weights=x[a:b], minlength=len(rows)) for x in (base, model, known)]
-            out.append((chunk, p, pack(rows.astype(np.uint16), *sums[:2], sums[2].astype(np.uint32), np.array([n_tokens])), tables[chunk]))
+            out.append((chunk, p, pack(rows.astype(np.uint16), sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32), np.array([n_tokens])), tables[chunk]))
         return pd.DataFrame(out, columns=["chunk", "part", "sums", "rows"])
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
