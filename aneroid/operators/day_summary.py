@@ -3,9 +3,7 @@
 One row per file and day: readings, those with a known place, first and last instant. The newest date, counts, dates
 and the days of a page then come from this table, whose size goes with files and days, and not from the readings.
 
-The rows carry path, length and modification time of the file they were made from. Every use compares them with a
-listing of the readings' folder, inside the same plan and without opening a file, and fails if the two differ: after
-an append ``extend_day_summary`` reads the new files alone; files that were rewritten or removed need a new summary.
+It is kept per file (see ``file_summary``), and refused when it is not of the files that are there.
 """
 
 from __future__ import annotations
@@ -14,17 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.functions.times import date_label
+from aneroid.operators import file_summary
 from aneroid.schema import DAY, SENTINEL_POSTAL_CODE
 
-FILE = ["path", "length", "modified"]
 
-
-def _per_file(readings: DataFrame) -> DataFrame:
-    meta = F.col("_metadata")
-    return readings.groupBy(
-        meta["file_path"].alias("path"), meta["file_size"].alias("length"),
-        meta["file_modification_time"].alias("modified"), F.col(DAY).alias("day"),
-    ).agg(
+def _per_file(readings: DataFrame, file: list[Column]) -> DataFrame:
+    return readings.groupBy(*file, F.col(DAY).alias("day")).agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("postal_code") != SENTINEL_POSTAL_CODE).alias("known"),
         F.min("timestamp").alias("first"),
@@ -34,36 +27,12 @@ def _per_file(readings: DataFrame) -> DataFrame:
 
 def write_day_summary(spark: SparkSession, readings: str, path: str) -> None:
     """Summarize the readings that ``write_readings`` stored at ``readings`` into a new ``path``."""
-    _per_file(spark.read.parquet(readings)).write.mode("errorifexists").parquet(path)
-
-
-def files_now(spark: SparkSession, readings: str) -> DataFrame:
-    """Path, length and modification time of the readings' files: a listing, no file is opened."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    return listing.load(readings).select("path", "length", F.col("modificationTime").alias("modified"))
-
-
-def _summarized(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*FILE).distinct()
+    file_summary.write(spark, readings, path, _per_file)
 
 
 def extend_day_summary(spark: SparkSession, readings: str, path: str) -> None:
-    """Add the files that were written since. Older files are pruned by their times, before any is opened."""
-    done = _summarized(spark, path)
-    newest = done.agg(F.max("modified")).first()[0]
-    later = spark.read.parquet(readings)
-    if newest is not None:
-        # files of the same instant as the last one seen may be new as well
-        later = later.where(F.col("_metadata")["file_modification_time"] >= F.lit(newest))
-    _per_file(later).join(done, FILE, "left_anti").write.mode("append").parquet(path)
-
-
-def _differs(spark: SparkSession, readings: str, path: str) -> Column:
-    """How many files are in only one of summary and folder: a scalar subquery over the two listings."""
-    both = files_now(spark, readings).select(*FILE, F.lit(1).alias("side")).unionByName(
-        _summarized(spark, path).withColumn("side", F.lit(-1))
-    )
-    return both.groupBy(*FILE).agg(F.sum("side").alias("side")).where("side <> 0").agg(F.count("*")).scalar()
+    """Add the files that were written since, reading those alone."""
+    file_summary.extend(spark, readings, path, _per_file)
 
 
 def read_day_summary(spark: SparkSession, readings: str, path: str) -> DataFrame:
@@ -71,11 +40,8 @@ def read_day_summary(spark: SparkSession, readings: str, path: str) -> DataFrame
 
     Evaluating it fails when the summary doesn't fit the files in ``readings``.
     """
-    fits = F.when(_differs(spark, readings, path) == 0, F.lit(True)).otherwise(
-        F.raise_error(F.lit("the day summary is not of these files; extend it or write a new one")).cast("boolean")
-    )
     return (
-        spark.read.parquet(path).where(fits).groupBy("day")
+        file_summary.read(spark, readings, path, "day summary").groupBy("day")
         .agg(F.sum("rows").alias("rows"), F.sum("known").alias("known"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
 

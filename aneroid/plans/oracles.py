@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aneroid.plans.queries import BOX, DATE, INSTANTS, OVER_READINGS, POINT, RANGE, SUMMARIZED
+from aneroid.plans.queries import BOX, DATE, FOLDED, INSTANTS, OVER_READINGS, POINT, RANGE, SUMMARIZED
 from aneroid.plans.readings import READING_EXPRESSIONS, hard
 
 READINGS = """
@@ -205,4 +205,6 @@ ORACLES: dict[str, str] = {
     **{f"hard_{name}": _over(HARD_READINGS, SQL[name]) for name in OVER_READINGS},
     **{f"summary_{name}": _over(READINGS, SQL[name]) for name in SUMMARIZED},
     **{f"hard_summary_{name}": _over(HARD_READINGS, SQL[name]) for name in SUMMARIZED},
+    **{f"partials_{name}": _over(READINGS, SQL[name]) for name in FOLDED},
+    **{f"hard_partials_{name}": _over(HARD_READINGS, SQL[name]) for name in FOLDED},
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aneroid.operators import aggregates, filters, paging, series, sinks
-from aneroid.operators import day_summary
+from aneroid.operators import day_summary, hour_partials
 from aneroid.operators.adhoc import run_sql
 from aneroid.operators.location_index import (
     build_location_index, compact_location_index, lookup_location, read_location_index,
@@ -78,18 +78,34 @@ def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _beside(spark: SparkSession, sf_dir: str, hard: bool, write: Callable, extend: Callable) -> tuple[str, str]:
+    """Stored readings and a summary beside them, both made in two steps."""
+    rows, summary = (hard_readings if hard else readings)(spark, sf_dir), scratch_path(spark, "summary")
+    path = scratch_path(spark, "readings")
+    late = F.coalesce(F.dayofmonth("timestamp") > 20, F.lit(True))
+    sinks.write_readings(rows.where(~late), path)
+    write(spark, path, summary)
+    sinks.append_readings(rows.where(late), path)
+    extend(spark, path, summary)
+    return path, summary
+
+
 def _summarized(use: Callable[[DataFrame, DataFrame], DataFrame], hard: bool = False) -> Callable[[SparkSession, str], DataFrame]:
-    """A query over stored readings and the summary of their days, which is made in two steps."""
+    """A query over stored readings and the summary of their days."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = _beside(spark, sf_dir, hard, day_summary.write_day_summary, day_summary.extend_day_summary)
+        return use(spark.read.parquet(made[0]), day_summary.read_day_summary(spark, *made))
+
+    return query
+
+
+def _folded(use: Callable[[DataFrame, DataFrame], DataFrame], hard: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the hour partials of stored readings; the readings are at hand for the edges of a range."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, summary = (hard_readings if hard else readings)(spark, sf_dir), scratch_path(spark, "day-summary")
-        path = scratch_path(spark, "readings")
-        late = F.coalesce(F.dayofmonth("timestamp") > 20, F.lit(True))
-        sinks.write_readings(rows.where(~late), path)
-        day_summary.write_day_summary(spark, path, summary)
-        sinks.append_readings(rows.where(late), path)
-        day_summary.extend_day_summary(spark, path, summary)
-        return use(spark.read.parquet(path), day_summary.read_day_summary(spark, path, summary))
+        made = _beside(spark, sf_dir, hard, hour_partials.write_hour_partials, hour_partials.extend_hour_partials)
+        return use(hour_partials.read_hour_partials(spark, *made), spark.read.parquet(made[0]))
 
     return query
 
@@ -181,6 +197,27 @@ SUMMARIZED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "page": lambda df, days: paging.page(df, days=days),
 }
 
+# Queries that fold the stored partial aggregates of hours.
+FOLDED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "hourly_avg_latest": lambda parts, df: hour_partials.hourly_average(parts),
+    "hourly_avg_latest_rounded": lambda parts, df: hour_partials.hourly_average(parts, digits=2),
+    "avg_all": lambda parts, df: hour_partials.average_by(parts, "all", ["temp"], drop_sentinel=False),
+    "avg_by_instant_range": lambda parts, df: hour_partials.average_by(
+        parts, "date", ["temp"], *INSTANTS, drop_sentinel=False, readings=df
+    ),
+    "avg_by_hour_range": lambda parts, df: hour_partials.average_by(parts, "hour", ["temp"], *RANGE),
+    "avg_by_day": lambda parts, df: hour_partials.average_by(parts, "day", ["temp", "humidity"]),
+    "avg_by_week": lambda parts, df: hour_partials.average_by(parts, "week", ["temp"]),
+    "max_on_date": lambda parts, df: hour_partials.extreme(parts, "temp", "max", DATE),
+    "first_temp_per_hour_top50": lambda parts, df: hour_partials.first_per_bucket(parts, "hour", ["temp"], True, 50),
+    "first_temp_humidity_per_day": lambda parts, df: hour_partials.first_per_bucket(
+        parts, "day", ["temp", "humidity"], n=50
+    ),
+    "first_per_hour_latest_filtered": lambda parts, df: hour_partials.first_per_hour(
+        parts, ["temp"], known_places=True, with_date="date"
+    ),
+}
+
 # Queries that write something first: the location table in its forms, and the readings by date.
 STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "location_index": lambda spark, sf_dir: read_location_index(
@@ -218,4 +255,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **STORED,
     **{f"summary_{name}": _summarized(use) for name, use in SUMMARIZED.items()},
     **{f"hard_summary_{name}": _summarized(use, hard=True) for name, use in SUMMARIZED.items()},
+    **{f"partials_{name}": _folded(use) for name, use in FOLDED.items()},
+    **{f"hard_partials_{name}": _folded(use, hard=True) for name, use in FOLDED.items()},
 }

@@ -49,3 +49,25 @@ def shuffled_rows(df) -> list[int]:
 
     walk(df._jdf.queryExecution().executedPlan())
     return found
+
+
+def files_read(df) -> dict[str, list[int]]:
+    """Root folder (its last name) of each scan of the main plan, with the number of files each of them opened."""
+    df.collect()
+    found: dict[str, list[int]] = {}
+
+    def walk(node) -> None:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "FileSourceScanExec":
+            root = node.relation().location().rootPaths().apply(0).getName()
+            found.setdefault(root, []).append(node.metrics().get("numFiles").get().value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
