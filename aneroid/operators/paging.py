@@ -214,3 +214,17 @@ def sample(df: DataFrame, columns: list[str], n: int, newest: bool = True) -> Da
     The second form stops after the first files; the first one gives the same rows every time.
     """
     return page(df, 0, n, columns) if newest else df.select(*columns).limit(n)
+
+
+def draw(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` readings (1,000 at most) drawn by chance, the same ones however the readings are stored or scanned.
+
+    Those with the smallest digests of ``seed`` and the reading's columns that are no fractions; another seed draws
+    others. Readings that agree in all of these are taken in the order of pages. A task keeps ``n`` rows.
+    """
+    check_page(0, n)
+    fractions = (T.DoubleType, T.FloatType)
+    told = sorted(f.name for f in df.schema if f.name != DAY and not isinstance(f.dataType, fractions))
+    # a column of its own, or it would be computed anew for every comparison
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in told]))
+    return df.withColumn("_lot", lot).orderBy("_lot", *newest_first(df)).limit(n).select(*columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aneroid.plans.queries import BOX, DATE, FOLDED, INSTANTS, OVER_READINGS, POINT, RANGE, SUMMARIZED
+from aneroid.plans.queries import BOX, DATE, FOLDED, INSTANTS, LABELLED, OVER_READINGS, POINT, RANGE, SUMMARIZED
 from aneroid.plans.readings import READING_EXPRESSIONS, hard
 
 READINGS = """
@@ -145,6 +145,10 @@ SQL: dict[str, str] = {
     "row_count": "SELECT count(*) AS total FROM sensor_data",
     "known_places": f"SELECT * FROM sensor_data WHERE {KNOWN}",
     "sample_recent": f"SELECT {LISTING} FROM sensor_data {NEWEST} LIMIT 50",
+    "sample_drawn": f"""
+        SELECT {LISTING} FROM sensor_data
+        ORDER BY md5(concat_ws('|', '7', city, country, device_id, id, postal_code, processed_at, sats, state,
+                               timestamp, wind_direction)) LIMIT 500""",
     "page": f"SELECT {LISTING}, timestamp FROM sensor_data {NEWEST} LIMIT 50 OFFSET 0",
     "page_offset": f"SELECT {LISTING}, timestamp FROM sensor_data {NEWEST} LIMIT 40 OFFSET 120",
     "page_deep": f"SELECT {LISTING}, timestamp FROM sensor_data {NEWEST} LIMIT 200 OFFSET 700",
@@ -169,6 +173,7 @@ SQL: dict[str, str] = {
         WHERE country = 'CA' AND cast(timestamp AS date) =
               (SELECT max(cast(timestamp AS date)) FROM sensor_data WHERE country = 'CA')
         GROUP BY state ORDER BY state""",
+    "adhoc_sql_labels": f"SELECT * FROM ({LABELLED.strip(chr(10) + '; ')})",
     "json_records": f"""
         SELECT cast(to_json({{'id': id, 'device_id': device_id, 'temp': temp, 'humidity': humidity,
                               'timestamp': {ISO}}}) AS varchar) AS record
@@ -186,6 +191,8 @@ SQL: dict[str, str] = {
     "location_index_compacted": LOCATION,
     "point_lookup_compacted": f"SELECT * FROM ({LOCATION}) WHERE {AT_POINT}",
     "point_lookup_indexed": f"SELECT * FROM ({LOCATION}) WHERE {AT_POINT}",
+    "bounding_box_indexed": f"SELECT {PLACE} FROM sensor_data WHERE {IN_BOX}",
+    "bounding_box_indexed_top10": f"SELECT {PLACE} FROM sensor_data WHERE {IN_BOX} {NEWEST} LIMIT 10",
     "stored_hourly_avg_latest": _hourly_avg(LATEST_KNOWN),
     "stored_first_temp_per_hour_top50": _first("hour", "temp", order="DESC NULLS LAST LIMIT 50"),
     "stored_page": f"SELECT {LISTING}, timestamp FROM sensor_data {NEWEST} LIMIT 50",

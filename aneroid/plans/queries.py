@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aneroid.operators import aggregates, filters, paging, series, sinks
 from aneroid.operators import day_summary, hour_partials
 from aneroid.operators.adhoc import run_sql
+from aneroid.operators.box_index import build_box_index, lookup_box
 from aneroid.operators.location_index import (
     build_location_index, compact_location_index, lookup_location, read_location_index,
 )
@@ -38,6 +39,17 @@ ADHOC = """
     SELECT state, avg_temp, n FROM daily WHERE day = (SELECT day FROM latest) ORDER BY state;
 """
 
+LABELLED = """
+    WITH days AS (
+        SELECT strftime(timestamp, '%Y-%m-%d') AS day, max(humidity) AS wettest
+        FROM sensor_data WHERE postal_code <> '00000' GROUP BY day
+    ),
+    wet AS (SELECT day FROM days WHERE wettest = (SELECT max(wettest) FROM days))
+    SELECT strftime(timestamp, '%d.%m.%y %H:00 (%j, 100 %%)') AS label, strftime(timestamp, '%H:%M:%S.%f') AS moment,
+           country, temp
+    FROM sensor_data WHERE strftime(timestamp, '%Y-%m-%d') IN (SELECT day FROM wet) ORDER BY label, moment;
+"""
+
 
 def _parsed(df: DataFrame) -> DataFrame:
     """Both time columns written as text and parsed back strictly."""
@@ -51,6 +63,12 @@ def _index(spark: SparkSession, df: DataFrame) -> str:
     return path
 
 
+def _box_index(spark: SparkSession, df: DataFrame) -> str:
+    path = scratch_path(spark, "box-index")
+    build_box_index(df, path)
+    return path
+
+
 def _streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "location-index")
     checkpoint = scratch_path(spark, "location-upkeep")
@@ -154,6 +172,7 @@ OVER_READINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # samples, pages and lookups
     "known_places": filters.drop_sentinel,
     "sample_recent": lambda df: paging.sample(df, LISTING_COLUMNS, 50),
+    "sample_drawn": lambda df: paging.draw(df, LISTING_COLUMNS, 500, seed=7),
     "page": paging.page,
     "page_offset": lambda df: paging.page(df, 120, 40),
     "page_deep": lambda df: paging.page(df, 700, 200, top_k=100),
@@ -171,6 +190,7 @@ OVER_READINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # parsing, SQL and JSON
     "strict_timestamps": _parsed,
     "adhoc_sql": lambda df: run_sql(df.sparkSession, df, ADHOC, {"country": "CA"}),
+    "adhoc_sql_labels": lambda df: run_sql(df.sparkSession, df, LABELLED),
     "json_records": lambda df: sinks.json_records(df.select("id", "device_id", "temp", "humidity", "timestamp")),
     "hourly_avg_envelope": lambda df: endpoints.temperature_humidity_hourly_data(df).select(
         F.col("meta.date").alias("date"), F.to_json("records", sinks.JSON_OPTIONS).alias("records")
@@ -231,6 +251,12 @@ STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "point_lookup_indexed": lambda spark, sf_dir: lookup_location(
         spark, _index(spark, readings(spark, sf_dir)), *POINT
     ),
+    "bounding_box_indexed": lambda spark, sf_dir: lookup_box(
+        spark, _box_index(spark, readings(spark, sf_dir)), *BOX
+    ).select(*PLACE_COLUMNS),
+    "bounding_box_indexed_top10": lambda spark, sf_dir: endpoints.sensor_data_by_lat_lon_range(
+        lookup_box(spark, _box_index(spark, readings(spark, sf_dir)), *BOX), *map(str, BOX)
+    ),
     "stored_hourly_avg_latest": lambda spark, sf_dir: aggregates.hourly_average(
         _stored(spark, readings(spark, sf_dir))
     ),

@@ -1,0 +1,92 @@
+"""The curve, the ranges of a box, and what a lookup reads."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from plans import plan_text, scan_metrics
+from pyspark.sql import functions as F
+
+from aneroid.operators import box_index
+from aneroid.operators.filters import in_box
+
+
+def interleaved(lat: int, lon: int) -> int:
+    return sum(((lat >> b & 1) << 2 * b + 1) | ((lon >> b & 1) << 2 * b) for b in range(16))
+
+
+def test_places(spark):
+    cells = [(0, 0), (65535, 65535), (0, 65535), (12345, 54321), (1, 2)]
+    points = [((a + 0.5) / 65536 * 180 - 90, (o + 0.5) / 65536 * 360 - 180) for a, o in cells]
+    beyond = [(-1e300, float("-inf")), (90.0, 180.0), (None, 1.0), (1.0, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate([*points, *beyond])], "i int, lat double, lon double")
+    got = [r[0] for r in df.orderBy("i").select(box_index.place_of(F.col("lat"), F.col("lon"))).collect()]
+    assert got == [*[interleaved(*c) for c in cells], 0, 2**32 - 1, None, None]
+
+
+@pytest.mark.parametrize("most", [1, 4, 32])
+def test_ranges_hold_the_box(most):
+    rng = random.Random(most)
+    for _ in range(100):
+        a, b = sorted(rng.sample(range(65536), 2))
+        c, d = sorted(rng.sample(range(65536), 2))
+        found = box_index.ranges((a, b, c, d), most)
+        assert 1 <= len(found) <= most
+        assert all(x[1] + 1 < y[0] for x, y in zip(found, found[1:]))
+        for lat, lon in [(a, c), (a, d), (b, c), (b, d), (rng.randint(a, b), rng.randint(c, d))]:
+            assert any(first <= interleaved(lat, lon) <= last for first, last in found)
+
+
+def test_small_ranges_are_exact():
+    for box in [(5, 5, 9, 9), (8, 15, 16, 23), (3, 6, 2, 4)]:
+        cells = {interleaved(a, o) for a in range(box[0], box[1] + 1) for o in range(box[2], box[3] + 1)}
+        assert {p for first, last in box_index.ranges(box, 10**6) for p in range(first, last + 1)} == cells
+    assert box_index.ranges((2, 1, 0, 5)) == [] and box_index.ranges((0, 65535, 0, 65535)) == [(0, 2**32 - 1)]
+
+
+@pytest.fixture(scope="module")
+def world(spark, make, tmp_path_factory):
+    """Readings all over the world, along the curve and in plain order by latitude, in 64 files each."""
+    rows = make({}).drop("lat", "lon", "id").crossJoin(spark.range(20_000).select("id")).withColumns(
+        {"lat": F.rand(1) * 180 - 90, "lon": F.rand(2) * 360 - 180}
+    )
+    rows = rows.unionByName(make(
+        *[{"id": -i, "lat": lat, "lon": lon}
+          for i, (lat, lon) in enumerate([(10.0, 20.0), (12.0, 30.0), (None, 20.0), (10.0, None), (float("nan"), 25.0)], 1)]
+    ))
+    base = tmp_path_factory.mktemp("boxes")
+    curve, plain = str(base / "curve"), str(base / "plain")
+    box_index.build_box_index(rows, curve, 64)
+    spark.read.parquet(curve).repartitionByRange(64, "lat").sortWithinPartitions("lat").write.parquet(plain)
+    return curve, plain
+
+
+@pytest.mark.parametrize(
+    "box", [(10.0, 12.0, 20.0, 30.0), (-90.0, 90.0, -180.0, 180.0), ("-1", "1", "-180", "180"), (10.0, 10.0, 20.0, 20.0),
+            (50.0, 40.0, 0.0, 10.0), (-200.0, 200.0, 100.0, 500.0)],
+)
+def test_lookups_find_what_a_scan_finds(spark, world, box):
+    got = sorted(r.id for r in box_index.lookup_box(spark, world[0], *box).collect())
+    assert got == sorted(r.id for r in in_box(spark.read.parquet(world[1]), *box).collect())
+
+
+def test_both_coordinates_skip(spark, world):
+    """A strip along a meridian: by latitude nothing is skipped, along the curve nearly all."""
+    strip = (-60.0, 60.0, 20.0, 22.0)
+    (read,) = scan_metrics(box_index.lookup_box(spark, world[0], *strip))
+    (plain,) = scan_metrics(in_box(spark.read.parquet(world[1]), *strip))
+    assert read["numOutputRows"] * 3 < plain["numOutputRows"]
+    assert "GreaterThanOrEqual(place," in plan_text(box_index.lookup_box(spark, world[0], *strip))
+
+
+def test_a_hot_place_is_spread(spark, make, tmp_path):
+    rows = make({}).drop("id").crossJoin(spark.range(4000).select("id"))
+    box_index.build_box_index(rows, str(tmp_path / "hot"), 8)
+    sizes = spark.read.parquet(str(tmp_path / "hot")).groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) >= 7 and max(r["count"] for r in sizes) < 1500
+
+
+def test_no_readings(spark, make, tmp_path):
+    box_index.build_box_index(make(), str(tmp_path / "none"))
+    assert box_index.lookup_box(spark, str(tmp_path / "none"), -90, 90, -180, 180).count() == 0
