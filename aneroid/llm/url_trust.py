@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # absolute and protocol-relative links; a relative link stays on its host and moves no score
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
+BETWEEN_WRITES = 4  # rounds whose plan is one job
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
@@ -63,14 +65,24 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def propagate(
+    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.001, rounds: int | None = None
+) -> DataFrame:
     """Personalised PageRank of both kinds: ``host, trust, distrust`` from ``host, allowed, blocked`` counts.
 
     Trust starts at the allowed pages and follows the edges; distrust starts at the blocked pages and follows
     them backwards, from a blocked host to those that link to it. Each kind's seeds add up to 1. What a host
     without edges would pass on is dropped, so scores add up to at most 1. Hosts that neither score reaches
     are left out. Each round shuffles one row per edge and kind; a hub's sum is made in each task first.
+
+    What a host got in a round (``moving``) is passed on in the next one and stays in its score (``score``), so the
+    share still on its way shrinks by ``damping`` in every round, wherever the links lead. The rounds end when it
+    is at most ``tolerance`` for each kind, that is after 43 rounds at most by default and earlier where
+    chains of links end; each host's score is then within twice that of the settled one. ``rounds`` asks for that
+    many instead.
     """
+    if not 0 <= damping < 1 or tolerance <= 0:
+        raise ValueError("damping must be at least 0 and below 1, and tolerance above 0")
     starts = seeds.agg(F.sum("allowed").alias("_a"), F.sum("blocked").alias("_b")).first()
     total = {"trust": float(starts["_a"] or 0), "distrust": float(starts["_b"] or 0)}
     start = seeds.select("host", F.explode(F.array(*[
@@ -85,15 +97,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     steps = stored(both.join(degrees, ["kind", "src"]).select(
         "kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("_out") * damping).alias("part")
     ), "trust-steps")
-    scores = start.withColumnRenamed("seed", "score")
-    for i in range(rounds):
-        moved = scores.join(steps, ["kind", "host"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score")
-        )
-        fresh = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-        scores = moved.unionByName(fresh).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % 3 == 2:
-            scores = stored(scores, "trust-scores")
+    state = start.select("kind", "host", F.lit(0.0).alias("score"), (F.col("seed") * (1 - damping)).alias("moving"))
+    done, settled = 0, rounds == 0
+    while not settled:
+        batch = BETWEEN_WRITES if rounds is None else min(BETWEEN_WRITES, rounds - done)
+        for _ in range(batch):
+            moved = state.filter("moving > 0").join(steps, ["kind", "host"]).select(
+                "kind", F.col("dst").alias("host"), F.lit(0.0).alias("score"),
+                (F.col("moving") * F.col("part")).alias("moving"),
+            )
+            kept = state.select("kind", "host", (F.col("score") + F.col("moving")).alias("score"), F.lit(0.0).alias("moving"))
+            state = moved.unionByName(kept).groupBy("kind", "host").agg(
+                F.sum("score").alias("score"), F.sum("moving").alias("moving")
+            )
+        state, done = stored(state, "trust-scores"), done + batch
+        if rounds is None:
+            left = state.groupBy("kind").agg(F.sum("moving").alias("left")).agg(F.max("left")).first()[0]
+            settled = (left or 0.0) <= tolerance * (1 - damping)
+        else:
+            settled = done == rounds
+    # what is still on its way is counted where it has got to, with all that would follow
+    scores = state.select("kind", "host", (F.col("score") + F.col("moving") / (1 - damping)).alias("score"))
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     return scores.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -105,7 +129,7 @@ def judge(
     html_col: str = "html",
     ratio: float = 1.0,
     floor: float = 0.1,
-    rounds: int = 8,
+    tolerance: float = 0.001,
 ) -> DataFrame:
     """Adds ``host, path, rule, verdict, trust, distrust`` to each page; columns of those names are replaced.
 
@@ -129,7 +153,7 @@ def judge(
         F.sum(F.when(F.col("_given") == "block", 1).otherwise(0)).alias("blocked"),
     )
     counts = stored(counts, "trust-hosts")
-    scores = propagate(host_links(pages, url_col, html_col), counts, rounds=rounds)
+    scores = propagate(host_links(pages, url_col, html_col), counts, tolerance=tolerance)
     mean = counts.agg((F.lit(1.0) / F.greatest(F.count("*"), F.lit(1))).alias("_mean"))
     scores = scores.select(
         F.col("host").alias("_host"), "trust", "distrust",

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -226,6 +227,43 @@ def test_scores_match_power_iteration(spark):
         assert {r["host"]: r[kind] for r in df.collect() if r[kind]} == pytest.approx({h: x for h, x in score.items() if x})
 
 
+def settled(edges, seeds, damping=0.85):
+    """The solution of the linear system that the rounds approach."""
+    hosts = sorted({h for e in edges for h in e[:2]} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    passes = np.zeros((len(hosts), len(hosts)))
+    for a, b, w in edges:
+        passes[at[b], at[a]] += w / sum(e[2] for e in edges if e[0] == a)
+    start = np.array([seeds.get(h, 0.0) for h in hosts])
+    return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - damping * passes, (1 - damping) * start)))
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_scores_are_settled_however_far_the_links_lead(spark, ring):
+    names = [f"h{i:02d}" for i in range(21)]
+    edges = [(a, b, 1) for a, b in zip(names, names[1:])] + [("h20", "h00", 1), ("h05", "h17", 2)] * ring
+    df = url_trust.propagate(
+        spark.createDataFrame(edges, "src string, dst string, weight long"),
+        spark.createDataFrame([("h00", 2, 0), ("h20", 0, 1)], "host string, allowed long, blocked long"), tolerance=1e-4,
+    )
+    got = {r["host"]: r for r in df.collect()}
+    assert set(got) == set(names)
+    for kind, seed, es in (("trust", "h00", edges), ("distrust", "h20", [(b, a, w) for a, b, w in edges])):
+        want = settled(es, {seed: 1.0})
+        assert sum(abs(got[h][kind] - want[h]) for h in names) <= 2e-4
+        assert all(got[h][kind] > 0 for h in names)
+
+
+def test_propagation_without_seeds_or_edges(spark):
+    edges = spark.createDataFrame([("a", "b", 1)], "src string, dst string, weight long")
+    seeds = spark.createDataFrame([("a", 0, 0), ("c", 0, 2)], "host string, allowed long, blocked long")
+    assert url_trust.propagate(edges, seeds.limit(0)).collect() == []
+    (row,) = url_trust.propagate(edges.limit(0), seeds).collect()
+    assert (row["host"], row["trust"], row["distrust"]) == ("c", 0.0, pytest.approx(0.15))
+    with pytest.raises(ValueError, match="damping"):
+        url_trust.propagate(edges, seeds, damping=1.0)
+
+
 def test_parent_domains_and_empty_tables(spark):
     pages = [(1, "http://blog.a.org/", None), (2, "http://x.blog.a.org/", None), (3, "http://a.org/", None), (4, "http://b.org/", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
