@@ -46,7 +46,8 @@ MINED = "lang string, phrase string, length int, here long, slack long"
 
 
 def _seed(lang: str) -> np.uint64:
-    return np.uint64(hash_of(lang.encode()))
+    # mixed once more: else the word "en" in "de" has the key of "de" in "en", and a language's name the same key in each
+    return mix(np.array([hash_of(lang.encode())], np.uint64))[0]
 
 
 def _follows(part: Words) -> np.ndarray:
@@ -203,7 +204,7 @@ class Candidates:
 
     @staticmethod
     def of(table: pa.Table) -> Candidates:
-        """From columns ``lang`` and ``phrase``, to which the first words of every phrase belong, too."""
+        """From columns ``lang`` and ``phrase``. A phrase whose first words aren't there, too, is left out: it can't be frequent."""
         table = table.combine_chunks()
         langs, phrases = (table.column(c).cast(pa.string()).combine_chunks() for c in ("lang", "phrase"))
         coded = pc.dictionary_encode(langs)
@@ -222,8 +223,9 @@ class Candidates:
             step = node[open_] * len(keys) + codes[first[open_] + length - 1]
             ends = size[open_] == length
             level, at = np.unique(step[ends], return_index=True)
-            node[open_] = np.searchsorted(level, step)
             rows = pa.array(open_[ends][at])
+            node[open_] = _index(level, step)
+            open_ = open_[node[open_] >= 0]
             tree.levels.append(level)
             tree.langs.append(langs.take(rows))
             tree.phrases.append(phrases.take(rows))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -127,3 +128,22 @@ def test_scores_beyond_64_bits(spark):
 def test_query_matches_sql(spark):
     sf_dir, name = "/root/testdata/sf0.001", "op11_phrases"
     assert difference(spark, connect(sf_dir), queries.QUERIES[name], queries.ORACLES[name], sf_dir) is None
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_words_that_are_names_of_languages(spark, parts):
+    """A word named like another text's language, and both ways round, and words named like their own."""
+    rng = random.Random(11)
+    rows = [
+        (i, " ".join(rng.choice(["de", "en", "und", "fr", "a"]) for _ in range(40)), rng.choice(["de", "en", None, "fr", "fr"]), "s")
+        for i in range(60)
+    ]
+    want = brute_force(rows, support=15)
+    assert {r[0] for r in want} == {"de", "en", "und", "fr"} and result(spark, rows, parts, support=15) == want
+
+
+def test_phrases_whose_first_words_are_not_frequent():
+    """Shards that don't know the frequent pairs may send such phrases; they must not take another one's place."""
+    listed = ["a", "b", "c", "d", "a b d", "b c d", "c d", "c d d", "a b d d", "c d d a"]
+    tree = phrases.Candidates.of(pa.table({"lang": ["x"] * len(listed), "phrase": listed}))
+    assert [sorted(x.to_pylist()) for x in tree.phrases] == [["a", "b", "c", "d"], ["c d"], ["c d d"], ["c d d a"]]
