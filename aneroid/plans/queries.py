@@ -177,7 +177,7 @@ OVER_READINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "page_offset": lambda df: paging.page(df, 120, 40),
     "page_deep": lambda df: paging.page(df, 700, 200, top_k=100),
     "page_after": lambda df: paging.page_after(
-        df, {"timestamp": dt.datetime(2024, 1, 20, 12), "id": 0}, served=0, limit=100
+        df, {"timestamp": dt.datetime(2024, 1, 20, 12), "id": 0}, served=0, limit=100, beyond=True
     ),
     "page_envelope": lambda df: paging.page_envelope(df, 10, 25).withColumn(
         "sensor_data", F.to_json("sensor_data", sinks.JSON_OPTIONS)
