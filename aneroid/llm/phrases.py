@@ -77,7 +77,10 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = 1 + (len(keys) >> 19)  # sorted one after the other, as sorting takes several times the memory
     number = np.empty(len(keys), np.int32)
     firsts, counts, n = [], [], 0
-    bucket = (keys % parts).astype(np.int32) if parts > 1 else None
+    bucket = None
+    if parts > 1:
+        bucket = np.empty(len(keys), np.int32)
+        np.remainder(keys, parts, out=bucket, casting="unsafe")
     for p in range(parts):
         at = np.arange(len(keys)) if bucket is None else np.flatnonzero(bucket == p)
         different, first, inverse, count = np.unique(keys[at], return_index=True, return_inverse=True, return_counts=True)
@@ -150,8 +153,11 @@ class _Shard:
                 starts, gram = starts[:-1][inside], gram[:-1][inside]
             if not len(starts):
                 return
-            key = gram if length == 1 else gram.astype(np.int64) * len(words) + word[starts + (length - 1)]
-            first, count, gram = _grouped(key)
+            if length > 1:  # in place, as a task's memory is short here
+                gram = gram.astype(np.int64)
+                gram *= len(words)
+                gram += word[starts + (length - 1)]
+            first, count, gram = _grouped(gram)
             lang = lang_of[word[starts[first]]]
             frequent = count >= least[lang]
             chosen = np.flatnonzero(frequent) if length >= shortest else []
