@@ -15,7 +15,7 @@ every pair is frequent overall.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,40 +134,68 @@ class _Shard:
                 least[i] = min(MOST, max(1, -(-support * self.n_words[i] // totals[names[i]])))
         yield from _rows(names, present, pa.nulls(len(present), pa.string()), 0, np.zeros(len(present), np.int64), least)
 
-        keys, at, number = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
-        words = pa.chunked_array(self.words, pa.large_binary()).take(pa.array(at)).combine_chunks().cast(pa.string())
-        lang_of = np.concatenate(self.langs)[at]
-        firsts = np.cumsum([0, *map(len, self.keys)])
-        number = number.astype(np.int32)
-        gram = np.concatenate([number[f:][c] for f, c in zip(firsts, self.codes, strict=False)])
-        word, follows = gram, np.concatenate(self.follows)
-        self.__init__(self.pairs)
-
-        starts = np.arange(len(word), dtype=np.int32)
+        words, lang_of, word, follows = self._numbered()
+        gram, alive = word.copy(), np.ones(len(word), bool)
         for length in range(1, longest + 1):
             if length > 1:
                 # both shorter phrases within have to be frequent here
-                inside = np.diff(starts) == 1
+                alive[:-1] &= alive[1:]
                 if length == 2:
-                    inside &= follows[starts[:-1]]
-                starts, gram = starts[:-1][inside], gram[:-1][inside]
-            if not len(starts):
+                    alive &= follows
+            if not alive.any():
                 return
-            if length > 1:  # in place, as a task's memory is short here
-                gram = gram.astype(np.int64)
-                gram *= len(words)
-                gram += word[starts + (length - 1)]
-            first, count, gram = _grouped(gram)
-            lang = lang_of[word[starts[first]]]
-            frequent = count >= least[lang]
-            chosen = np.flatnonzero(frequent) if length >= shortest else []
-            for i in range(0, len(chosen), 1 << 16):
-                some = chosen[i : i + (1 << 16)]
-                at = starts[first[some]]
-                texts = [words.take(pa.array(word[at + j])) for j in range(length)]
-                yield from _rows(names, lang[some], pc.binary_join_element_wise(*texts, " "), length, count[some], least)
-            keep = frequent[gram]
-            starts, gram = starts[keep], gram[keep]
+
+            def key(at: np.ndarray, length: int = length) -> np.ndarray:
+                keys = gram[at].astype(np.int64)
+                if length > 1:
+                    keys *= len(words)
+                    keys += word[at + (length - 1)]
+                return keys
+
+            n = 0
+            for at in _dealt(alive, key):
+                first, count, number = _grouped(key(at))
+                lang = lang_of[word[at[first]]]
+                frequent = count >= least[lang]
+                chosen = np.flatnonzero(frequent) if length >= shortest else []
+                for i in range(0, len(chosen), 1 << 16):
+                    some = chosen[i : i + (1 << 16)]
+                    starts = at[first[some]]
+                    texts = [words.take(pa.array(word[starts + j])) for j in range(length)]
+                    yield from _rows(names, lang[some], pc.binary_join_element_wise(*texts, " "), length, count[some], least)
+                ids = np.cumsum(frequent)  # from 1 on
+                gram[at], alive[at] = n + ids[number] - 1, frequent[number]
+                n += int(ids[-1])
+
+    def _numbered(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The different words, their languages, for each word its number and whether the next one follows. Empties the shard."""
+        keys, follows = np.unique(np.concatenate(self.keys)), np.concatenate(self.follows)
+        at, word = np.empty(len(keys), np.int64), np.empty(len(follows), np.int32)
+        first, end = sum(map(len, self.keys)), len(follows)
+        while self.codes:
+            own, codes = self.keys.pop(), self.codes.pop()
+            number = np.searchsorted(keys, own)
+            first -= len(own)
+            at[number] = np.arange(first, first + len(own))
+            word[end - len(codes) : end] = number[codes]
+            end -= len(codes)
+        words = pa.chunked_array(self.words, pa.large_binary()).take(pa.array(at)).combine_chunks().cast(pa.string())
+        lang_of = np.concatenate(self.langs)[at]
+        self.__init__(self.pairs)
+        return words, lang_of, word, follows
+
+
+def _dealt(alive: np.ndarray, key: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+    """The marked positions in parts, those of equal keys in the same one, so that few keys are in memory at once."""
+    parts = min(255, 1 + (int(np.count_nonzero(alive)) >> 18))
+    part = np.full(len(alive), parts, np.uint8)  # where nothing is marked
+    for i in range(0, len(alive), 1 << 18):
+        at = i + np.flatnonzero(alive[i : i + (1 << 18)])
+        part[at] = key(at) % parts
+    for p in range(parts):
+        at = np.flatnonzero(part == p)
+        if len(at):
+            yield at
 
 
 def _rows(
@@ -194,6 +222,7 @@ def mined(
                 if shard.bytes >= SHARD_BYTES:
                     yield from shard.mine(totals, support, shortest, longest)
                     shard = _Shard(known)
+        batch = part = lang = key = None  # a batch may be as large as the shard
         yield from shard.mine(totals, support, shortest, longest)
 
     return docs.mapInArrow(mine, MINED)

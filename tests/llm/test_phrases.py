@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -109,6 +110,40 @@ def test_keys_are_grouped_in_parts():
     assert (keys[first][number] == keys).all() and (np.bincount(number) == count).all() and len(first) == 1000
 
 
+def test_shard_is_mined_in_parts():
+    """Mining takes little memory beside the words' numbers, and counts what a shard of many parts has."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in (rng.random(1000) ** 3 * 5000).astype(int)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr", "en"] * 500, "text": texts})
+
+    def mine():
+        shard = phrases._Shard(None)
+        for part in phrases._parts(batch):
+            shard.add(*part)
+        tracemalloc.start()
+        yield from shard.mine({"en": 10**9, "fr": 500_000}, 100, 1, 3)
+
+    for _ in mine():
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * 1_500_000  # all phrases of a length at once took 75 bytes a word
+
+    got = Counter()
+    for rows in list(mine()):
+        for lang, phrase, here in zip(*(rows.column(c).to_pylist() for c in ("lang", "phrase", "here")), strict=True):
+            if phrase is not None:
+                assert (lang, phrase) not in got
+                got[lang, phrase] = here
+    tracemalloc.stop()
+    want = Counter()
+    for lang, text in zip(["en", "fr", "en"] * 500, texts, strict=True):
+        words = text.split(" ")
+        for k in (1, 2, 3):
+            want.update((lang, " ".join(p)) for p in zip(*(words[j:] for j in range(k)), strict=False))
+    assert got == Counter({p: a for p, a in want.items() if a >= (1 if p[0] == "en" else 2)})
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert result(spark, []) == set()
     rows = corpus(9, 80)
